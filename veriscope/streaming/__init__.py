@@ -1,0 +1,2 @@
+"""The audited workload is batch only: it has no unbounded source, no event time
+and no state between runs, so there is nothing to re-express as a stream."""
