@@ -17,7 +17,6 @@ LETTER_RUN = r"\p{L}+"
 TERM = r"[\p{L}\p{N}_]{2,}"
 UPPERCASE = r"\p{Lu}"
 SENTENCE_END = r"[.!?]+(?:\s|\z)"
-UNFINISHED_SENTENCE = r"[^\s.!?]\s*\z"
 NUMBER_OR_MONEY = r"(?:[$€£]\s?)?\d+(?:[.,]\d+)*"
 CAPITALISED_RUN = r"[\p{Ll}\p{N},;:)]\s+\p{Lu}[\p{L}'’-]*(?:\s+\p{Lu}[\p{L}'’-]*)*"
 
@@ -32,9 +31,14 @@ def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def plain(text: Column) -> Column:
+    """The text with every run of whitespace as one blank, and none at the ends."""
+    return F.trim(F.regexp_replace(filled(text), SPACE_RUN, " "))
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words; none for an empty or blank text."""
-    return F.array_remove(F.split(filled(text), SPACE_RUN), "")
+    return F.array_remove(F.split(plain(text), " "), "")
 
 
 def letter_tokens(text: Column) -> Column:
@@ -57,8 +61,7 @@ def word_count(text: Column) -> Column:
 
 def mean_word_length(text: Column) -> Column:
     """Characters that are not whitespace, per word; 0 without words."""
-    inked = F.length(F.regexp_replace(filled(text), SPACE_RUN, ""))
-    return F.coalesce(F.try_divide(inked.cast("double"), word_count(text).cast("double")), F.lit(0.0))
+    return F.coalesce(per_word(F.length(F.replace(plain(text), F.lit(" "), F.lit(""))), word_count(text)), F.lit(0.0))
 
 
 def count_char(text: Column, char: str) -> Column:
@@ -90,8 +93,8 @@ def type_token_ratio(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """Sentence terminators, plus one for a tail without a terminator."""
-    tail = filled(text).rlike(UNFINISHED_SENTENCE).cast("int")
-    return count_pattern(text, SENTENCE_END) + tail
+    last = F.right(F.rtrim(filled(text), F.lit(" \t\n\x0b\f\r")), F.lit(1))
+    return count_pattern(text, SENTENCE_END) + (~last.isin("", ".", "!", "?")).cast("int")
 
 
 def entity_count(text: Column) -> Column:
@@ -102,7 +105,7 @@ def entity_count(text: Column) -> Column:
 def wrapped(text: Column, per_line: int = 10, separator: str = "<br>") -> Column:
     """Break a text after every ``per_line`` words; other whitespace becomes one blank."""
     line = rf"((?:[^ ]+ ){{{per_line - 1}}}[^ ]+) "
-    return F.regexp_replace(F.array_join(words(text), " "), line, f"$1{separator}")
+    return F.regexp_replace(plain(text), line, f"$1{separator}")
 
 
 def hover(label: Column, text: Column, per_line: int = 10) -> Column:
@@ -118,20 +121,33 @@ NATIVE_FEATURES = (
 
 def with_native_features(texts: DataFrame, text: str = "text_",
                          superlatives: Sequence[str] = SUPERLATIVES) -> DataFrame:
-    """Add every native feature of a text column."""
+    """Add every native feature of a text column.
+
+    Shared intermediate results are columns of their own, so that each pass over
+    the text happens once.
+    """
     content = F.col(text)
-    return texts.withColumns({
+    shared = texts.withColumns({"_plain": plain(content), "_letters": letter_tokens(content)})
+    counted = shared.withColumns({
         "char_len": char_count(content),
-        "word_len": word_count(content),
+        "_blanks": F.length("_plain") - F.length(F.replace("_plain", F.lit(" "), F.lit(""))),
         "sentence_count": sentence_count(content),
-        "avg_word_len": mean_word_length(content),
         "exclamation_count": count_char(content, "!"),
         "question_count": count_char(content, "?"),
-        "uppercase_ratio": uppercase_ratio(content),
+        "_capitals": count_pattern(content, UPPERCASE),
         "superlative_count": count_whole_words(content, superlatives),
-        "ttr": type_token_ratio(content),
+        "_distinct": F.size(F.array_distinct("_letters")),
         "entity_count": entity_count(content),
-    }).withColumns({
+    }).withColumn("word_len", F.when(F.col("_plain") == "", 0).otherwise(F.col("_blanks") + 1))
+    return counted.withColumns({
+        "avg_word_len": F.coalesce(per_word(F.length("_plain") - F.col("_blanks"), F.col("word_len")), F.lit(0.0)),
+        "uppercase_ratio": F.col("_capitals") / F.greatest("char_len", F.lit(1)),
         "superlative_density": per_word(F.col("superlative_count"), F.col("word_len")),
+        "ttr": F.col("_distinct") / F.greatest(F.size("_letters"), F.lit(1)),
         "entity_density": per_word(F.col("entity_count"), F.col("word_len")),
-    })
+    }).drop("_blanks", "_capitals", "_distinct")
+
+
+def without_helpers(measured: DataFrame) -> DataFrame:
+    """Drop the intermediate results that ``with_native_features`` leaves for reuse."""
+    return measured.drop("_plain", "_letters")

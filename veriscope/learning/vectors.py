@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, RegexTokenizer, SQLTransformer, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -16,13 +16,19 @@ from veriscope.functions.stats import star_rating
 from veriscope.functions.text import TERM, filled
 
 
-def word2vec_stages(size: int = 64, min_count: int = 5, epochs: int = 1, seed: int = 42, text: str = "text_",
-                    output: str = "embedding") -> list:
-    """Averaged word vectors as document vectors; ``min_count`` bounds the vocabulary kept on the driver."""
+def word2vec_stages(size: int = 64, min_count: int = 5, epochs: int = 1, tasks: int | None = None,
+                    seed: int = 42, text: str = "text_", output: str = "embedding") -> list:
+    """Averaged word vectors as document vectors.
+
+    Trained in ``tasks`` parallel tasks (the session's parallelism by default; MLlib's
+    own default is a single one).  ``min_count`` bounds the vocabulary kept on the driver.
+    """
+    tasks = tasks or SparkSession.active().sparkContext.defaultParallelism
     return [
         SQLTransformer(statement=f"SELECT *, coalesce({text}, '') AS filled FROM __THIS__"),
         RegexTokenizer(inputCol="filled", outputCol="tokens", pattern=TERM, gaps=False, minTokenLength=1),
-        Word2Vec(inputCol="tokens", outputCol=output, vectorSize=size, minCount=min_count, maxIter=epochs, seed=seed),
+        Word2Vec(inputCol="tokens", outputCol=output, vectorSize=size, minCount=min_count,
+                 maxIter=epochs, numPartitions=tasks, seed=seed),
     ]
 
 

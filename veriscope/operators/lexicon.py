@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriscope.functions.text import (
-    NATIVE_FEATURES, SUPERLATIVES, filled, letter_tokens, with_native_features, words,
+    NATIVE_FEATURES, SUPERLATIVES, filled, with_native_features, words,
 )
 from veriscope.shared import MAX_BROADCAST_ROWS, broadcast_if_small, fits_broadcast
 
@@ -75,12 +75,11 @@ def text_profile(texts: DataFrame, lexicon: DataFrame, carry: Sequence[str] = ()
     ``lexicon`` is a settled table (word, concreteness, polarity, pos); a missing
     word scores NULL.
     """
-    content = F.col(text)
     base = [key, *carry, *NATIVE_FEATURES]
     tokens = (
         with_native_features(texts, text, superlatives)
-        .select(*base, words(F.lower(filled(content))).alias("raw"), letter_tokens(content).alias("spoken_words"))
-        .select(*base, F.inline_outer(token_items(F.col("raw"), F.col("spoken_words"), negators)))
+        .withColumn("_raw", F.array_remove(F.split(F.lower("_plain"), " "), ""))
+        .select(*base, F.inline_outer(token_items(F.col("_raw"), F.col("_letters"), negators)))
     )
     # numbers, unlike strings, can be held in a hash aggregate's buffer
     same_text = [F.max(c).alias(c) for c in NATIVE_FEATURES]

@@ -36,7 +36,8 @@ VARIANTS = {"basic": {"shift": 0}, "improved": {"shift": 1}}
 
 
 def _parts(spark, sf_dir):
-    placed = stratified_split(reviews(spark, sf_dir))
+    """Training and test texts, joined and written once: fitting reads them several times."""
+    placed = settle(stratified_split(reviews(spark, sf_dir)))
     return placed.where("part = 'train'").drop("part"), placed.where("part = 'test'").drop("part")
 
 
@@ -64,7 +65,7 @@ def _vectors(spark, sf_dir):
 
 def _vector_parts(spark, sf_dir):
     keyed = documents(spark, sf_dir).drop("text_").join(labels(spark, sf_dir), "id")
-    placed = stratified_split(with_vector(keyed, _vectors(spark, sf_dir)))
+    placed = settle(stratified_split(with_vector(keyed, _vectors(spark, sf_dir))))
     return placed.where("part = 'train'").drop("part"), placed.where("part = 'test'").drop("part")
 
 
@@ -103,7 +104,7 @@ def difficulty_importance(spark, sf_dir):
 
 def curve(spark, sf_dir):
     scores = learning_curve(
-        reviews(spark, sf_dir), lambda: text_and_rating(200), lambda: random_forest(trees=5, depth=4),
+        settle(reviews(spark, sf_dir)), lambda: text_and_rating(200), lambda: random_forest(trees=5, depth=4),
         fractions=(0.3, 1.0), folds=2,
     )
     return rounded(fold_summary(scores, by="fraction"))
@@ -111,7 +112,7 @@ def curve(spark, sf_dir):
 
 def param_search(spark, sf_dir):
     space = {**FOREST_SPACE, "trees": ("int", 3, 10), "depth": ("int", 2, 5)}
-    return rounded(random_search(reviews(spark, sf_dir), text_and_rating(200), random_forest, space, trials=4))
+    return rounded(random_search(settle(reviews(spark, sf_dir)), text_and_rating(200), random_forest, space, trials=4))
 
 
 def pca_2d(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veriscope.functions.bins import LENGTH_LABELS, bin_label, fixed_bin_no, with_quantile_bins
 from veriscope.functions.stats import star_rating
-from veriscope.functions.text import NATIVE_FEATURES, hover, with_native_features
+from veriscope.functions.text import NATIVE_FEATURES, hover, with_native_features, without_helpers
 from veriscope.operators.consolidate import CAUGHT, ESCAPED, GENUINE, cohort, difficulty
 from veriscope.operators.lexicon import mean_word_score, text_profile
 from veriscope.operators.metrics import rate_by, shares
@@ -34,7 +34,7 @@ VOCABULARY = 500
 
 def text_features(spark, sf_dir):
     texts = documents(spark, sf_dir)
-    return rounded(with_native_features(texts, superlatives=SUPERLATIVES).drop("text_"))
+    return rounded(without_helpers(with_native_features(texts, superlatives=SUPERLATIVES)).drop("text_"))
 
 
 def _profiled(spark, sf_dir):

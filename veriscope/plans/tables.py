@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriscope.functions.text import words
+from veriscope.functions.text import SPACE_CHARS, words
 from veriscope.operators.consolidate import consolidate, long_predictions
 from veriscope.shared import settle
 
@@ -53,9 +53,8 @@ def measured(texts: DataFrame) -> DataFrame:
     """The numbers the rules look at, instead of the text."""
     text = F.col("text_")
     return texts.withColumns({
-        "w": words(text), "lw": words(F.lower(text)),
-        "cl": F.length(text), "pu": F.regexp_count(text, F.lit(PUNCTUATION)),
-    }).withColumns({"wl": F.size("w"), "uq": F.size(F.array_distinct("lw"))}).drop("w", "lw", "text_")
+        "lw": words(F.lower(text)), "cl": F.length(text), "pu": F.regexp_count(text, F.lit(PUNCTUATION)),
+    }).withColumns({"wl": F.size("lw"), "uq": F.size(F.array_distinct("lw"))}).drop("lw", "text_")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +86,8 @@ def wide(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word scores for the short plain words of the texts, settled once."""
-    tokens = documents(spark, sf_dir).select(F.explode(words(F.lower("text_"))).alias("word"))
-    listed = tokens.where(F.col("word").rlike("^[a-z]{2,6}$")).distinct()
+    found = F.regexp_extract_all(F.lower("text_"), F.lit(rf"(?<![^{SPACE_CHARS}])[a-z]{{2,6}}(?![^{SPACE_CHARS}])"), 0)
+    listed = documents(spark, sf_dir).select(F.explode(F.array_distinct(found)).alias("word")).distinct()
     code, size = F.ascii("word"), F.length("word")
     return settle(listed.select(
         "word",
