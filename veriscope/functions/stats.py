@@ -35,8 +35,8 @@ def wilson_bounds(successes: Column, trials: Column, z: float = Z_95) -> tuple[C
     centre = p + z * z / (2 * n)
     scale = 1 + z * z / n
     return (
-        F.greatest((centre - spread) / scale, F.lit(0.0)),
-        F.least((centre + spread) / scale, F.lit(1.0)),
+        F.when(n.isNotNull(), F.greatest((centre - spread) / scale, F.lit(0.0))),
+        F.when(n.isNotNull(), F.least((centre + spread) / scale, F.lit(1.0))),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veriscope.functions.text import (
     NATIVE_FEATURES, SUPERLATIVES, filled, with_native_features, words,
 )
-from veriscope.shared import MAX_BROADCAST_ROWS, broadcast_if_small, fits_broadcast
+from veriscope.shared import MAX_BROADCAST_ROWS, fits_broadcast
 
 # Words that turn the polarity of the next word, and by how much.
 NEGATORS = ("no", "not", "never")
@@ -30,7 +30,7 @@ def join_lexicon(tokens: DataFrame, lexicon: DataFrame, spread_by: str,
     if fits_broadcast(lexicon, max_rows):
         return tokens.join(F.broadcast(lexicon), "word", "left")
     salted = tokens.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
-    copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, ["word", "_salt"], "left").drop("_salt")
 
 
@@ -70,20 +70,26 @@ def text_profile(texts: DataFrame, lexicon: DataFrame, carry: Sequence[str] = ()
                  negators: Sequence[str] = NEGATORS, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Every text feature of every text: the native ones and the lexicon scores.
 
-    The measurements ride along with the exploded tokens as numbers, so the text is
-    read once and never shuffled; per-text sums are combined before the one shuffle.
+    With a lexicon under the broadcast bound the measurements ride along with the
+    exploded tokens, so the text is read once and never shuffled, and per-text sums
+    are combined before the one shuffle.
     ``lexicon`` is a settled table (word, concreteness, polarity, pos); a missing
     word scores NULL.
     """
     base = [key, *carry, *NATIVE_FEATURES]
-    tokens = (
+    measured = (
         with_native_features(texts, text, superlatives)
         .withColumn("_raw", F.array_remove(F.split(F.lower("_plain"), " "), ""))
-        .select(*base, F.inline_outer(token_items(F.col("_raw"), F.col("_letters"), negators)))
     )
-    # numbers, unlike strings, can be held in a hash aggregate's buffer
-    same_text = [F.max(c).alias(c) for c in NATIVE_FEATURES]
-    return join_lexicon(tokens, lexicon, key, max_rows).groupBy(key, *carry).agg(*same_text, *lexicon_scores())
+    items = F.inline_outer(token_items(F.col("_raw"), F.col("_letters"), negators))
+    if fits_broadcast(lexicon, max_rows):
+        # numbers, unlike strings, can be held in a hash aggregate's buffer
+        same_text = [F.max(c).alias(c) for c in NATIVE_FEATURES]
+        tokens = measured.select(*base, items).join(F.broadcast(lexicon), "word", "left")
+        return tokens.groupBy(key, *carry).agg(*same_text, *lexicon_scores())
+    # the tokens are shuffled to the lexicon: they travel without the measurements
+    tokens = join_lexicon(measured.select(key, items), lexicon, key, max_rows)
+    return measured.select(*base).join(tokens.groupBy(key).agg(*lexicon_scores()), key)
 
 
 def merge_lexicons(concreteness: DataFrame, polarity: DataFrame, parts: DataFrame) -> DataFrame:
@@ -96,10 +102,8 @@ def merge_lexicons(concreteness: DataFrame, polarity: DataFrame, parts: DataFram
 
 
 def mean_word_score(texts: DataFrame, lexicon: DataFrame, score: str, text: str = "text_",
-                    key: str = "id") -> DataFrame:
+                    key: str = "id", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Mean score of a text's known whitespace words; NULL if it has none."""
     tokens = texts.select(key, F.explode_outer(words(F.lower(filled(F.col(text))))).alias("word"))
-    return (
-        tokens.join(broadcast_if_small(lexicon.select("word", score)), "word", "left")
-        .groupBy(key).agg(F.avg(score).alias(score))
-    )
+    scored = join_lexicon(tokens, lexicon.select("word", score), key, max_rows)
+    return scored.groupBy(key).agg(F.avg(score).alias(score))
