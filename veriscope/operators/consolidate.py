@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,12 @@ def long_predictions(scored: DataFrame, predictions: dict[str, Column], carry: S
     )
 
 
+def union_predictions(frames: dict[str, DataFrame]) -> DataFrame:
+    """Every model's own predictions in one table, matched by column name; a missing column is NULL."""
+    named = [frame.withColumn("model", F.lit(model)) for model, frame in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 def model_flags(models: Sequence[str], model: str = "model", correct: str = "correct") -> list[Column]:
     """Pivot expressions: the best outcome of every listed model."""
     return [F.max(F.when(F.col(model) == m, F.col(correct))).cast("int").alias(m) for m in models]
@@ -66,6 +73,11 @@ def attach_flags(base: DataFrame, predictions: DataFrame, models: Sequence[str],
     return _settle_missing(base.join(flags, key, "left"), models, missing)
 
 
+def base_rows(predictions: DataFrame, carry: Sequence[str], key: str = "id") -> DataFrame:
+    """One row of base columns per key; of differing rows the smallest."""
+    return predictions.groupBy(key).agg(F.min(F.struct(*carry)).alias("base")).select(key, "base.*")
+
+
 def base_conflicts(predictions: DataFrame, carry: Sequence[str], key: str = "id") -> DataFrame:
     """Keys whose base columns differ between models."""
     row = F.struct(*carry)

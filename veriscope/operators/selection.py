@@ -24,7 +24,7 @@ def seeded_sample(df: DataFrame, n: int, key: str = "id", seed: int = 42, check:
 
     Independent of partitioning, and a smaller sample is part of a larger one.
     """
-    if check and df.select(key).limit(n).count() < n:
+    if check and len(df.select(key).take(n)) < n:
         raise ValueError(f"a sample of {n} rows needs at least {n} rows")
     return df.orderBy(seeded_hash(key, seed), key).limit(n)
 

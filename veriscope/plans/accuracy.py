@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veriscope.functions.answers import correctness
 from veriscope.functions.bins import with_quantile_bins
-from veriscope.operators.consolidate import attach_flags, difficulty, majority_vote
+from veriscope.operators.consolidate import attach_flags, base_rows, difficulty, majority_vote, union_predictions
 from veriscope.operators.metrics import (
     accuracy_by, accuracy_with_interval, classification_report, classifier_summary, confusion_matrix,
     corpus_summary, difficulty_summary, mean_by, model_scores, overall_accuracy, paired_tests,
 )
 from veriscope.operators.selection import nested_samples, seeded_sample
 from veriscope.plans.ctes import sql
-from veriscope.plans.tables import LABELS, MODELS, facts, predictions, reviews, rounded, wide
+from veriscope.plans.tables import BASE, LABELS, MODELS, facts, predictions, reviews, rounded, rules, wide
 from veriscope.shared import settle
 
 SAMPLE_SIZES = (50, 100, 200)
@@ -23,6 +24,22 @@ def combined_predictions(spark, sf_dir):
     return attach_flags(reviews(spark, sf_dir), predictions(spark, sf_dir), MODELS, missing="wrong")
 
 
+def union_of_models(spark, sf_dir):
+    """Each model's own table, united; only one of them carries an explanation."""
+    measured = settle(facts(spark, sf_dir))
+    frames = {
+        model: measured.select("id", "label", rule.alias("predicted_label"))
+        .withColumn("correct", correctness(F.col("label"), F.col("predicted_label")))
+        for model, rule in rules().items()
+    }
+    frames["rule_length"] = frames["rule_length"].withColumn("explanation", F.lit("length"))
+    return union_predictions(frames)
+
+
+def distinct_reviews(spark, sf_dir):
+    return base_rows(predictions(spark, sf_dir, "category", "rating"), BASE)
+
+
 def corpus_overview(spark, sf_dir):
     return corpus_summary(wide(spark, sf_dir))
 
@@ -109,6 +126,8 @@ def model_comparison_same_ids(spark, sf_dir):
 
 QUERIES = {
     "combined_predictions": combined_predictions,
+    "union_of_models": union_of_models,
+    "distinct_reviews": distinct_reviews,
     "corpus_summary": corpus_overview,
     "overall_accuracy": overall,
     "model_vs_ensemble": model_vs_ensemble,
@@ -183,6 +202,10 @@ ORACLE = {
     "combined_predictions": sql("""
         SELECT w.id, w.category, w.rating, w.label, r.text_, rule_length, rule_variety, rule_punct, correct_count
         FROM wide w JOIN reviews r ON w.id = r.id""", "wide"),
+    "union_of_models": sql("""
+        SELECT id, label, model, predicted_label, correct,
+               CASE WHEN model = 'rule_length' THEN 'length' END AS explanation FROM predictions""", "predictions"),
+    "distinct_reviews": sql("SELECT DISTINCT id, category, rating, label FROM predictions", "predictions"),
     "corpus_summary": sql("SELECT count(*) AS n_rows, count(DISTINCT category) AS n_groups FROM wide", "wide"),
     "overall_accuracy": sql("""
         SELECT model, round(avg(correct), 6) AS accuracy FROM predictions GROUP BY model""", "predictions"),

@@ -24,7 +24,7 @@ from veriscope.learning.vectors import (
     annotate, encode, explained_variance, fit_projection, project, star_sentiment, word2vec_stages,
 )
 from veriscope.operators.consolidate import any_error, difficulty
-from veriscope.operators.metrics import accuracy_with_interval, fold_summary
+from veriscope.operators.metrics import accuracy_with_interval, best_epoch, fold_summary
 from veriscope.operators.selection import hash_fraction, stratified_split
 from veriscope.plans.ctes import sql
 from veriscope.plans.measures import CORRELATED
@@ -79,8 +79,7 @@ def mlp_predictions(spark, sf_dir):
     )
 
 
-def mlp_history(spark, sf_dir):
-    """Validation loss and accuracy by number of epochs, until the loss stops improving."""
+def _mlp_history(spark, sf_dir):
     train, check = _vector_parts(spark, sf_dir)
     prepared, vectors = fit_features(train, vector_category_rating())
     size = vectors.select("features").first().features.size
@@ -88,7 +87,16 @@ def mlp_history(spark, sf_dir):
     _, history = early_stopped_epochs(
         vectors, held, lambda n: dense_network(size, (16, 8), n), (2, 5, 10, 20), log_loss_and_accuracy, patience=2
     )
-    return rounded(history, digits=3)
+    return history
+
+
+def mlp_history(spark, sf_dir):
+    """Validation loss and accuracy by number of epochs, until the loss stops improving."""
+    return rounded(_mlp_history(spark, sf_dir), digits=3)
+
+
+def mlp_best_epoch(spark, sf_dir):
+    return rounded(best_epoch(_mlp_history(spark, sf_dir).withColumn("model", F.lit("network"))), digits=3)
 
 
 def feature_importance(spark, sf_dir):
@@ -210,6 +218,7 @@ QUERIES = {
     "gbt_predictions": gbt_predictions,
     "mlp_predictions": mlp_predictions,
     "mlp_history": mlp_history,
+    "mlp_best_epoch": mlp_best_epoch,
     "feature_importance": feature_importance,
     "difficulty_importance": difficulty_importance,
     "learning_curve": curve,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,12 @@ from veriscope.functions.answers import (
     review_prompt, with_examples,
 )
 from veriscope.operators.consolidate import long_predictions
-from veriscope.operators.selection import first_rows, number_rows, seeded_hash, seeded_sample, stratified_split
+from veriscope.operators.selection import (
+    first_rows, fold_no, holdout_split, number_rows, seeded_hash, seeded_sample, stratified_split,
+)
 from veriscope.plans.ctes import sql
 from veriscope.plans.tables import documents, facts, labels, reviews, rounded, rules
-from veriscope.sources.reviews import category_columns, encoded_label, scaled_stars
+from veriscope.sources.reviews import category_columns, encoded_label, one_hot_category, scaled_stars
 
 TEMPLATE = "Decide whether a review is genuine.\nClassification rules:\n- Answer in JSON.\n"
 # The answers given to texts by id modulo their number.
@@ -24,6 +28,28 @@ def label_encoding(spark, sf_dir):
     return labels(spark, sf_dir).withColumn("label_encoded", encoded_label(F.col("label")))
 
 
+def fitted_label_codes(spark, sf_dir):
+    """Labels coded by a fitted encoder in alphabetical order, and decoded again."""
+    keyed = labels(spark, sf_dir)
+    encoder = StringIndexer(inputCol="label", outputCol="code", stringOrderType="alphabetAsc").fit(keyed)
+    decoder = IndexToString(inputCol="code", outputCol="decoded", labels=encoder.labels)
+    return decoder.transform(encoder.transform(keyed)).withColumn("code", F.col("code").cast("int"))
+
+
+def category_vectors(spark, sf_dir):
+    """One-hot category vectors: the position of the one, and the size."""
+    dense = vector_to_array("category_onehot")
+    coded = one_hot_category(documents(spark, sf_dir).select("id", "category"))
+    return coded.select("id", "category", (F.array_position(dense, 1.0) - 1).cast("int").alias("place"),
+                        F.size(dense).alias("size"))
+
+
+def holdout_parts(spark, sf_dir):
+    """Unstratified hold-out part and fold of every text, by hash."""
+    keyed = documents(spark, sf_dir).select("id")
+    return holdout_split(keyed).withColumn("fold", fold_no(3))
+
+
 def one_hot_rating_norm(spark, sf_dir):
     texts = documents(spark, sf_dir).drop("text_")
     listed = sorted(row.category for row in texts.select("category").distinct().limit(1001).collect())
@@ -98,7 +124,10 @@ def few_shot_block(spark, sf_dir):
 
 QUERIES = {
     "label_encoding": label_encoding,
+    "fitted_label_codes": fitted_label_codes,
     "one_hot_rating_norm": one_hot_rating_norm,
+    "category_vectors": category_vectors,
+    "holdout_parts": holdout_parts,
     "row_numbers": row_numbers,
     "stratified_split": split,
     "seeded_samples": seeded_samples,
@@ -118,6 +147,16 @@ ORACLE = {
     "label_encoding": """
         SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'OR' ELSE 'CG' END AS label,
                CAST(quality = 1 AS INTEGER) AS label_encoded FROM labels""",
+    "fitted_label_codes": """
+        SELECT id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code, label AS decoded
+        FROM (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'OR' ELSE 'CG' END AS label FROM labels)""",
+    "category_vectors": """
+        SELECT doc_id AS id, source AS category, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS place,
+               CAST((SELECT count(DISTINCT source) FROM documents) AS INTEGER) AS size FROM documents""",
+    "holdout_parts": f"""
+        SELECT id, CASE WHEN x < 0.2 THEN 'test' ELSE 'train' END AS part, CAST(floor(x * 3) AS INTEGER) AS fold
+        FROM (SELECT id, CAST(concat('0x', substr({HASH}, 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS x
+              FROM (SELECT doc_id AS id FROM documents))""",
     "one_hot_rating_norm": sql(f"""
         SELECT id, category, rating, {ONE_HOT}, round((rating - 1) / 4, 6) AS rating_norm FROM docs""", "docs"),
     "row_numbers": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS id FROM documents",
