@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from veriscope.learning.classifiers import fit_classifier, fit_features, random_forest, score, text_and_rating, tfidf_stages
 from veriscope.learning.evaluation import BOOSTED_SPACE, draw, learning_curve, named_importances, random_search
 from veriscope.learning.remote import score_remotely
-from veriscope.learning.vectors import annotate, encode, fit_projection, project
+from veriscope.learning.vectors import (
+    annotate, bounded_min_count, encode, fit_projection, fit_word_vectors, project,
+)
 from veriscope.operators.terms import tfidf
 from veriscope.sources.store import load_model, save_model
 
@@ -79,6 +81,14 @@ def test_projection_is_centred_principal_components(spark):
     assert np.allclose(found.mean(axis=0), 0, atol=1e-4)
 
 
+def test_word_vectors_keep_a_bounded_vocabulary(spark, texts):
+    tokens = spark.createDataFrame([(["a"] * 5 + ["b"] * 3 + ["c"] * 3 + ["d"],)], "tokens array<string>")
+    assert [bounded_min_count(tokens, 1, n) for n in (4, 3, 2, 1)] == [1, 2, 4, 4]
+    model = fit_word_vectors(texts, size=4, min_count=2, max_words=6)
+    assert model.stages[-1].getVectors().count() <= 6
+    assert model.transform(texts).where(F.size(vector_to_array("embedding")) == 4).count() == texts.count()
+
+
 def test_supplied_models(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, text_ string")
 

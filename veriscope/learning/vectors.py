@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, RegexTokenizer, SQLTransformer, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -16,20 +16,36 @@ from veriscope.functions.stats import star_rating
 from veriscope.functions.text import TERM, filled
 
 
-def word2vec_stages(size: int = 64, min_count: int = 5, epochs: int = 1, tasks: int | None = None,
-                    seed: int = 42, text: str = "text_", output: str = "embedding") -> list:
+def bounded_min_count(tokens: DataFrame, min_count: int, max_words: int) -> int:
+    """The smallest count, at least ``min_count``, that at most ``max_words`` words reach.
+
+    ``tokens`` has an array column of that name.
+    """
+    counts = tokens.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    frequent = counts.where(F.col("n") >= min_count).orderBy(F.desc("n")).limit(max_words + 1)
+    found, least = frequent.agg(F.count("*"), F.min("n")).first()
+    return min_count if found <= max_words else least + 1
+
+
+def fit_word_vectors(texts: DataFrame, size: int = 64, min_count: int = 5, max_words: int = 200_000,
+                     epochs: int = 1, seed: int = 42, text: str = "text_", output: str = "embedding") -> PipelineModel:
     """Averaged word vectors as document vectors.
 
-    Trained in ``tasks`` parallel tasks (the session's parallelism by default; MLlib's
-    own default is a single one).  ``min_count`` bounds the vocabulary kept on the driver.
+    MLlib keeps the vocabulary on the driver: rare words are left out until at most
+    ``max_words`` remain.  Trained in as many tasks as the session runs in parallel
+    (MLlib's own default is a single one).
     """
-    tasks = tasks or SparkSession.active().sparkContext.defaultParallelism
-    return [
+    tokenized = Pipeline(stages=[
         SQLTransformer(statement=f"SELECT *, coalesce({text}, '') AS filled FROM __THIS__"),
         RegexTokenizer(inputCol="filled", outputCol="tokens", pattern=TERM, gaps=False, minTokenLength=1),
-        Word2Vec(inputCol="tokens", outputCol=output, vectorSize=size, minCount=min_count,
-                 maxIter=epochs, numPartitions=tasks, seed=seed),
-    ]
+    ]).fit(texts)
+    tokens = tokenized.transform(texts).select("tokens")
+    averaged = Word2Vec(
+        inputCol="tokens", outputCol=output, vectorSize=size, maxIter=epochs, seed=seed,
+        minCount=bounded_min_count(tokens, min_count, max_words),
+        numPartitions=texts.sparkSession.sparkContext.defaultParallelism,
+    ).fit(tokens)
+    return PipelineModel(stages=[*tokenized.stages, averaged])
 
 
 def encode(texts: DataFrame, make_encoder: Callable, batch: int = 512, text: str = "text_",

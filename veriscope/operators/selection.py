@@ -66,7 +66,7 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, label: str = "label"
     part.  All rows are then placed by comparing hashes: no label, however frequent, is
     ordered as a whole, and ``df`` itself is not shuffled.
     """
-    keys = settle(df.select(key, label))
+    keys = settle(df.select(key, label), compact=True)
     hashed = keys.withColumn("h", seeded_hash(key, seed)).withColumn("prefix", F.substring("h", 1, 4))
     # at most 65 536 prefixes per label
     histogram = hashed.groupBy(label, "prefix").agg(F.count("*").alias("n"))

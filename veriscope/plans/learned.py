@@ -6,7 +6,6 @@ Parameters are small: the queries exercise the jobs, not the best accuracy.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from veriscope.learning.evaluation import (
 )
 from veriscope.learning.remote import score_remotely
 from veriscope.learning.vectors import (
-    annotate, encode, explained_variance, fit_projection, project, star_sentiment, word2vec_stages,
+    annotate, encode, explained_variance, fit_projection, fit_word_vectors, project, star_sentiment,
 )
 from veriscope.operators.consolidate import any_error, difficulty
 from veriscope.operators.metrics import accuracy_with_interval, best_epoch, fold_summary
@@ -144,7 +143,7 @@ def pca_50(spark, sf_dir):
 
 def word2vec_vectors(spark, sf_dir):
     texts = documents(spark, sf_dir)
-    model = Pipeline(stages=word2vec_stages(size=8, min_count=50)).fit(texts)
+    model = fit_word_vectors(texts, size=8, min_count=50, max_words=5000)
     return model.transform(texts).select("id", F.size(vector_to_array("embedding")).alias("dimensions"))
 
 

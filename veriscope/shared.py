@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast table is held by the driver and by every executor.  Rows of the
-# tables broadcast here are a few dozen bytes wide.
+# A broadcast table is held by the driver and by every executor.
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,14 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, compact: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, so that several passes (or a retry after a lost executor)
     do not recompute it, and gives the optimizer the real size of the result.
+    ``compact`` evens out the files first: for narrow columns of a large scan, which
+    would otherwise leave one tiny file per scan task.
     """
     path = f"{shared_folder(df.sparkSession)}/veriscope-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,7 +54,10 @@ def pinned(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
 
 def fits_broadcast(settled: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """Whether a settled (Parquet-backed) table is small enough to broadcast."""
-    return settled.count() <= max_rows
+    texts = [f.name for f in settled.schema.fields if f.dataType.typeName() == "string"]
+    characters = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(8 * len(settled.columns)))
+    rows, size = settled.agg(F.count("*"), F.sum(characters)).first()
+    return rows <= max_rows and (size or 0) <= MAX_BROADCAST_BYTES
 
 
 def broadcast_if_small(settled: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
