@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from veriscope.operators.consolidate import consolidate
-from veriscope.shared import pinned, settle
+from veriscope.shared import pinned, settle, shared_folder
 from veriscope.sources.lexicons import read_concreteness
 from veriscope.sources.predictions import (
     prediction_files, read_predictions, write_prediction_files, write_predictions,
@@ -111,3 +111,27 @@ def test_shared_tables(spark):
     assert pinned(df, max_rows=1) is df
     empty = pinned(df.where("id > 5"))
     assert empty.count() == 0 and empty.columns == ["id", "v"]
+
+
+class _Session:
+    """A session without a shared folder, on the given master."""
+
+    class conf:
+        @staticmethod
+        def get(key, default):
+            return default
+
+    def __init__(self, master):
+        self.sparkContext = type("C", (), {
+            "master": master, "applicationId": "app-test", "getCheckpointDir": staticmethod(lambda: None)})
+
+
+def test_only_a_local_session_may_use_its_own_folder():
+    folder = shared_folder(_Session("local[2]"))
+    assert folder and folder == shared_folder(_Session("local[2]"))
+    with pytest.raises(RuntimeError):
+        shared_folder(_Session("spark://host:7077"))
+
+
+def test_folder_of_the_session(spark):
+    assert settle(spark.range(3)).inputFiles()[0].startswith("file:" + shared_folder(spark).removeprefix("file:"))

@@ -17,7 +17,7 @@ LETTER_RUN = r"\p{L}+"
 TERM = r"[\p{L}\p{N}_]{2,}"
 UPPERCASE = r"\p{Lu}"
 SENTENCE_END = r"[.!?]+(?:\s|\z)"
-NUMBER_OR_MONEY = r"(?:[$€£]\s?)?\d+(?:[.,]\d+)*"
+NUMBER = r"\d+(?:[.,]\d+)*"  # an amount of money counts as its number
 CAPITALISED_RUN = r"[\p{Ll}\p{N},;:)]\s+\p{Lu}[\p{L}'’-]*(?:\s+\p{Lu}[\p{L}'’-]*)*"
 
 # Words counted as superlatives.
@@ -41,9 +41,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain(text), " "), "")
 
 
+def letter_runs(text: Column) -> Column:
+    return F.regexp_extract_all(filled(text), F.lit(LETTER_RUN), 0)
+
+
 def letter_tokens(text: Column) -> Column:
     """Lower-cased purely alphabetic tokens."""
-    return F.regexp_extract_all(F.lower(filled(text)), F.lit(LETTER_RUN), 0)
+    return letter_runs(F.lower(text))
 
 
 def terms(text: Column) -> Column:
@@ -78,7 +82,11 @@ def uppercase_ratio(text: Column) -> Column:
 
 def count_whole_words(text: Column, vocabulary: Sequence[str] = SUPERLATIVES) -> Column:
     """Case-insensitive whole-word matches of any word of a short list."""
-    return F.regexp_count(F.lower(filled(text)), F.lit(rf"\b(?:{'|'.join(vocabulary)})\b"))
+    return count_pattern(F.lower(text), whole_words(vocabulary))
+
+
+def whole_words(vocabulary: Sequence[str]) -> str:
+    return rf"\b(?:{'|'.join(vocabulary)})\b"
 
 
 def per_word(amount: Column, word_len: Column) -> Column:
@@ -99,7 +107,7 @@ def sentence_count(text: Column) -> Column:
 
 def entity_count(text: Column) -> Column:
     """Stand-in for an entity recogniser: capitalised runs inside a sentence, and numbers."""
-    return count_pattern(text, CAPITALISED_RUN) + count_pattern(text, NUMBER_OR_MONEY)
+    return count_pattern(text, CAPITALISED_RUN) + count_pattern(text, NUMBER)
 
 
 def wrapped(text: Column, per_line: int = 10, separator: str = "<br>") -> Column:
@@ -127,7 +135,10 @@ def with_native_features(texts: DataFrame, text: str = "text_",
     the text happens once.
     """
     content = F.col(text)
-    shared = texts.withColumns({"_plain": plain(content), "_letters": letter_tokens(content)})
+    shared = (
+        texts.withColumns({"_plain": plain(content), "_lower": F.lower(content)})
+        .withColumn("_letters", letter_runs(F.col("_lower")))
+    )
     counted = shared.withColumns({
         "char_len": char_count(content),
         "_blanks": F.length("_plain") - F.length(F.replace("_plain", F.lit(" "), F.lit(""))),
@@ -135,7 +146,7 @@ def with_native_features(texts: DataFrame, text: str = "text_",
         "exclamation_count": count_char(content, "!"),
         "question_count": count_char(content, "?"),
         "_capitals": count_pattern(content, UPPERCASE),
-        "superlative_count": count_whole_words(content, superlatives),
+        "superlative_count": count_pattern(F.col("_lower"), whole_words(superlatives)),
         "_distinct": F.size(F.array_distinct("_letters")),
         "entity_count": entity_count(content),
     }).withColumn("word_len", F.when(F.col("_plain") == "", 0).otherwise(F.col("_blanks") + 1))
@@ -145,7 +156,7 @@ def with_native_features(texts: DataFrame, text: str = "text_",
         "superlative_density": per_word(F.col("superlative_count"), F.col("word_len")),
         "ttr": F.col("_distinct") / F.greatest(F.size("_letters"), F.lit(1)),
         "entity_density": per_word(F.col("entity_count"), F.col("word_len")),
-    }).drop("_blanks", "_capitals", "_distinct")
+    }).drop("_blanks", "_capitals", "_distinct", "_lower")
 
 
 def without_helpers(measured: DataFrame) -> DataFrame:
