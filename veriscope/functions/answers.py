@@ -50,6 +50,9 @@ def correctness(label: Column, predicted: Column) -> Column:
     return F.when(predicted.isNotNull(), label.eqNullSafe(predicted).cast("int"))
 
 
+# The wording of the two functions below is a fixed value: a scorer reads it.
+
+
 def mistake_example(number: Column, category: Column, rating: Column, text: Column,
                     label: Column, predicted: Column) -> Column:
     """One numbered example block that shows a scorer an earlier mistake."""
