@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from veriscope.llm import chat, quality, warc
+from veriscope.llm import chat, packing, quality, token_counts, warc
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
 }
 ORACLE = {
