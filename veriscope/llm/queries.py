@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veriscope.llm import chat, packing, quality, token_counts, warc
+from veriscope.llm import chat, mixing, packing, quality, token_counts, warc
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_token_counts": token_counts.op4_token_counts,
     "op8_chat_formatting": chat.op8_chat_formatting,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 ORACLE = {
+    "op1_mixing": mixing.ORACLE,
     "op2_quality_rules": quality.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
     "op10_warc": warc.ORACLE,
