@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from veriscope.llm import chat, mixing, packing, quality, secret_scan, simhash, token_counts, warc
+from veriscope.llm import chat, embedding_dedup, mixing, packing, quality, secret_scan, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_simhash": simhash.op6_simhash,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
