@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -6,13 +8,28 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tests.llm.test_token_counts import AWKWARD
 from veriscope.llm.packing import (
-    cuts, op9_packing, pack_documents, packed, packed_sequences, packing_plan, plan_ranges, token_pieces,
+    TokenIds, cuts, op9_packing, pack_documents, packed, packed_sequences, packing_plan, plan_ranges, token_pieces,
 )
 from veriscope.llm.token_counts import default_vocabulary
 from veriscope.shared import settle
 
 
+def test_ids_are_the_librarys():
+    """Awkward and random texts, and every character between words."""
+    tokenizer, ids = Tokenizer.from_file(default_vocabulary()), TokenIds(default_vocabulary())
+    draw = random.Random(7)
+    characters = [chr(c) for c in range(0x3100) if unicodedata.category(chr(c)) not in ("Cs", "Cn")]
+    texts = [*AWKWARD, *(f"a{c}b {c}{c} 1{c}" for c in characters)]
+    for _ in range(300):
+        alphabet = draw.choice([characters, "ab \n'st", "the of 12 .,!", "\u00e9\u00df\u00f1 \u00fca"])
+        texts.append("".join(draw.choice(alphabet) for _ in range(draw.randrange(90))))
+    for text in texts:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids(text), dtype="<u4").tolist() == want, repr(text)
+
+
 def check_layout(rows, capacity):
     """Every sequence gapless from 0 and within its capacity."""
     placed = defaultdict(list)

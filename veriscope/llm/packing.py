@@ -17,6 +17,7 @@ piece; an empty table gives no sequences; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from veriscope.llm.ranks import HASH_RANGE, running_totals
 from veriscope.llm.texts import has_columns
-from veriscope.llm.token_counts import CHUNK, UNEVEN, Remembered, default_vocabulary
+from veriscope.llm.token_counts import CHUNK, PIECE, REMEMBERED_CHARS, UNEVEN, Remembered, byte_characters, default_vocabulary
 from veriscope.shared import settle
 
 CAPACITY = 2048
@@ -38,27 +39,42 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class TokenIds:
-    """Little-endian unsigned 32-bit ids of a text; pieces between blanks are remembered."""
+    """Little-endian unsigned 32-bit ids of a text, as ``tokenizers`` gives them for a byte-level
+    vocabulary; pieces between blanks are remembered.
+
+    Short pieces are merged by ``tiktoken`` over the ranks of the same vocabulary, which costs
+    a quarter; long ones and texts with special strings by ``tokenizers`` itself.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are parallel already
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = sorted(added)
+        octets = {c: b for b, c in enumerate(byte_characters())}
+        ranks = {bytes(octets[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in added}
+        self.merging = tiktoken.Encoding("pieces", pat_str=PIECE.pattern, mergeable_ranks=ranks, special_tokens={})
         self.chunks = Remembered(self.encode, REMEMBERED)
         self.after_blank = Remembered(lambda rest: self.encode(" " + rest), REMEMBERED)
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def encode(self, chunk: str) -> bytes:
+        if len(chunk) <= REMEMBERED_CHARS:
+            return array("I", self.merging.encode_ordinary(chunk)).tobytes()
+        return self.encode_long(chunk)
+
+    def encode_long(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return self.encode(text)
+            return self.encode_long(text)
         if UNEVEN.search(text):
             return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
         first, *rest = text.split(" ")

@@ -61,6 +61,13 @@ class Remembered(dict):
         return value
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte: itself if it is visible, else the next after 255."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
+
+
 class PairMerging:
     """Counts tokens of a byte-level vocabulary given as ``tokenizers`` JSON."""
 
@@ -68,7 +75,7 @@ class PairMerging:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         names = spec["model"]["vocab"]
-        self.symbols = [names[c] for c in self._byte_characters()]
+        self.symbols = [names[c] for c in byte_characters()]
         self.ranks, self.merged = {}, []
         for rank, (left, right) in enumerate(spec["model"]["merges"]):
             self.ranks.setdefault((names[left], names[right]), rank)
@@ -79,13 +86,6 @@ class PairMerging:
         self.chunks = Remembered(self.count_pieces)
         self.after_blank = Remembered(lambda rest: self.count_pieces(" " + rest))
 
-    @staticmethod
-    def _byte_characters() -> list[str]:
-        """The character that stands for each byte: itself if it is visible, else the next after 255."""
-        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        hidden = iter(range(256, 512))
-        return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
-
     def merge(self, piece: str) -> int:
         """Initial symbols minus merges."""
         symbols = [self.symbols[b] for b in piece.encode("utf-8")]
