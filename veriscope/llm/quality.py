@@ -132,6 +132,13 @@ def judged(df: DataFrame, text: str = "text", rules=RULES, base_rules=BASE_RULES
         "kept", F.size("failed_rules") == 0).drop("one")
 
 
+def passed(df: DataFrame, text: str = "text", rules=RULES, base_rules=BASE_RULES) -> DataFrame:
+    """The rows that pass every rule, with their own columns only."""
+    has_columns(df, text)
+    whole = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("text"))
+    return judged(whole, "text", rules, base_rules).where("kept").select("_row.*")
+
+
 ORACLE = rf"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS txt, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
