@@ -176,7 +176,9 @@ def op3_secret_scan(spark, sf_dir):
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
+    def number(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("findings", lambda f: f["kind"] != "novel")
-    counts = [F.size(F.filter("findings", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return with_findings(documents).select(
-        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+        "doc_id", *map(number, KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
