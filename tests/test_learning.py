@@ -11,7 +11,7 @@ from veriscope.learning.classifiers import fit_classifier, fit_features, random_
 from veriscope.learning.evaluation import BOOSTED_SPACE, draw, learning_curve, named_importances, random_search
 from veriscope.learning.remote import score_remotely
 from veriscope.learning.vectors import (
-    annotate, bounded_min_count, encode, fit_projection, fit_word_vectors, project,
+    annotate, encode, fit_projection, hashed_word_vectors, project,
 )
 from veriscope.operators.terms import tfidf
 from veriscope.sources.store import load_model, save_model
@@ -81,12 +81,12 @@ def test_projection_is_centred_principal_components(spark):
     assert np.allclose(found.mean(axis=0), 0, atol=1e-4)
 
 
-def test_word_vectors_keep_a_bounded_vocabulary(spark, texts):
-    tokens = spark.createDataFrame([(["a"] * 5 + ["b"] * 3 + ["c"] * 3 + ["d"],)], "tokens array<string>")
-    assert [bounded_min_count(tokens, 1, n) for n in (4, 3, 2, 1)] == [1, 2, 4, 4]
-    model = fit_word_vectors(texts, size=4, min_count=2, max_words=6)
-    assert model.stages[-1].getVectors().count() <= 6
-    assert model.transform(texts).where(F.size(vector_to_array("embedding")) == 4).count() == texts.count()
+def test_hashed_word_vectors(spark):
+    df = spark.createDataFrame([(1, "Ab cd ab"), (2, "ab"), (3, "cd"), (4, None), (5, "x !"), (6, "ab ab ab")], "id long, text_ string")
+    got = {r.id: r.embedding for r in hashed_word_vectors(df, size=16).collect()}
+    assert all(sorted(map(abs, got[i]))[-2:] == [0.0, 1.0] for i in (2, 3))
+    assert got[1] == pytest.approx([(2 * a + b) / 3 for a, b in zip(got[2], got[3])])
+    assert got[4] is None and got[5] is None and got[6] == got[2]
 
 
 def test_supplied_models(spark):

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from veriscope.operators.quantiles import exact_quantiles
 
-# Word-count intervals of the length report and their names.
-LENGTH_EDGES = (0, 20, 50, 100, 200, 500, 9999)
+# Word-count intervals of the length report and their names; the last one is open.
+LENGTH_EDGES = (0, 20, 50, 100, 200, 500, float("inf"))
 LENGTH_LABELS = ("1–20", "21–50", "51–100", "101–200", "201–500", "500+")
 
 

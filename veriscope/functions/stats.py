@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 # 95 % quantiles of the standard normal and of chi-square with one degree.
 Z_95 = 1.959963984540054
@@ -21,10 +19,28 @@ def mcnemar_chi2(first_only: Column, second_only: Column) -> Column:
     return F.try_divide((gap * gap).cast("double"), discordant)
 
 
-@F.pandas_udf(DoubleType())
-def chi2_p_value(chi2: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with one degree of freedom (one row per model pair)."""
-    return chi2.map(lambda x: None if pd.isna(x) else math.erfc(math.sqrt(x / 2.0)))
+def erfc(x: Column, terms: int = 120, fractions: int = 80) -> Column:
+    """Complementary error function of a number of at least 0.
+
+    Near 0 one minus the series of erf, beyond 2 a continued fraction, which keeps small values exact.
+    """
+    steps = F.sequence(F.lit(1), F.lit(terms))
+    start = F.struct((2 * x / math.sqrt(math.pi)).alias("term"), (2 * x / math.sqrt(math.pi)).alias("total"))
+    series = F.aggregate(
+        steps, start,
+        lambda acc, n: F.struct((acc["term"] * x * x / (n + 0.5)).alias("term"),
+                                (acc["total"] + acc["term"] * x * x / (n + 0.5)).alias("total")),
+        lambda acc: acc["total"],
+    )
+    fraction = F.aggregate(F.sequence(F.lit(fractions), F.lit(1)), x, lambda t, k: x + k / (2 * t))
+    bell = F.exp(-x * x)
+    return F.when(x < 2, 1 - bell * series).otherwise(bell / (math.sqrt(math.pi) * fraction))
+
+
+def chi2_p_value(chi2: Column | str) -> Column:
+    """Upper tail of chi-square with one degree of freedom."""
+    value = F.col(chi2) if isinstance(chi2, str) else chi2
+    return F.when(value.isNotNull(), erfc(F.sqrt(value / 2)))
 
 
 def wilson_bounds(successes: Column, trials: Column, z: float = Z_95) -> tuple[Column, Column]:

@@ -5,6 +5,7 @@ Every function takes a string column.  NULL text counts as the empty text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -86,7 +87,7 @@ def count_whole_words(text: Column, vocabulary: Sequence[str] = SUPERLATIVES) ->
 
 
 def whole_words(vocabulary: Sequence[str]) -> str:
-    return rf"\b(?:{'|'.join(vocabulary)})\b"
+    return rf"\b(?:{'|'.join(map(re.escape, vocabulary))})\b"
 
 
 def per_word(amount: Column, word_len: Column) -> Column:

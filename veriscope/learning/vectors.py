@@ -6,46 +6,33 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, RegexTokenizer, SQLTransformer, StandardScaler, Word2Vec
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from veriscope.functions.stats import star_rating
-from veriscope.functions.text import TERM, filled
+from veriscope.functions.text import filled, terms
 
 
-def bounded_min_count(tokens: DataFrame, min_count: int, max_words: int) -> int:
-    """The smallest count, at least ``min_count``, that at most ``max_words`` words reach.
+def hashed_word_vectors(texts: DataFrame, size: int = 64, text: str = "text_", output: str = "embedding") -> DataFrame:
+    """Averaged word directions as document vectors; NULL for a text without words.
 
-    ``tokens`` has an array column of that name.
+    Every word has a signed place among ``size``, by its hash: no vocabulary is fitted, held
+    on the driver or cut, and a text's vector depends on the text alone.
     """
-    counts = tokens.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    frequent = counts.where(F.col("n") >= min_count).orderBy(F.desc("n")).limit(max_words + 1)
-    found, least = frequent.agg(F.count("*"), F.min("n")).first()
-    return min_count if found <= max_words else least + 1
-
-
-def fit_word_vectors(texts: DataFrame, size: int = 64, min_count: int = 5, max_words: int = 200_000,
-                     epochs: int = 1, seed: int = 42, text: str = "text_", output: str = "embedding") -> PipelineModel:
-    """Averaged word vectors as document vectors.
-
-    MLlib keeps the vocabulary on the driver: rare words are left out until at most
-    ``max_words`` remain.  Trained in as many tasks as the session runs in parallel
-    (MLlib's own default is a single one).
-    """
-    tokenized = Pipeline(stages=[
-        SQLTransformer(statement=f"SELECT *, coalesce({text}, '') AS filled FROM __THIS__"),
-        RegexTokenizer(inputCol="filled", outputCol="tokens", pattern=TERM, gaps=False, minTokenLength=1),
-    ]).fit(texts)
-    tokens = tokenized.transform(texts).select("tokens")
-    averaged = Word2Vec(
-        inputCol="tokens", outputCol=output, vectorSize=size, maxIter=epochs, seed=seed,
-        minCount=bounded_min_count(tokens, min_count, max_words),
-        numPartitions=texts.sparkSession.sparkContext.defaultParallelism,
-    ).fit(tokens)
-    return PipelineModel(stages=[*tokenized.stages, averaged])
+    digest = lambda word: F.md5(word)  # noqa: E731  a hash that other engines have, too
+    number = lambda word: F.conv(F.substring(digest(word), 1, 8), 16, 10).cast("long")
+    # place 1..size, negative for half of the words
+    signed = lambda n: F.when(n % 2 == 0, 1).otherwise(-1) * (F.floor(n / 2) % size + 1)
+    placed = texts.withColumn("_places", F.transform(terms(F.col(text)), lambda word: signed(number(word))))
+    sums = F.aggregate(
+        "_places", F.array_repeat(F.lit(0).cast("long"), size),
+        lambda acc, p: F.transform(acc, lambda x, i: F.when(i == F.abs(p) - 1, x + F.sign(p).cast("long")).otherwise(x)),
+    )
+    means = F.transform(sums, lambda x: x / F.size("_places"))
+    return placed.withColumn(output, F.when(F.size("_places") > 0, means)).drop("_places")
 
 
 def encode(texts: DataFrame, make_encoder: Callable, batch: int = 512, text: str = "text_",

@@ -89,22 +89,36 @@ def base_conflicts(predictions: DataFrame, carry: Sequence[str], key: str = "id"
     )
 
 
+def scored_count(models: Sequence[str]) -> Column:
+    """How many of the models gave an answer."""
+    total = F.lit(0)
+    for m in models:
+        total = total + F.col(m).isNotNull().cast("int")
+    return total
+
+
+def _if_scored(models: Sequence[str], value: Column) -> Column:
+    return F.when(scored_count(models) > 0, value)
+
+
 def difficulty(models: Sequence[str]) -> Column:
-    """How many of the models are wrong."""
-    return F.lit(len(models)) - correct_count(models)
+    """How many of the models are wrong; NULL if none gave an answer."""
+    return _if_scored(models, scored_count(models) - correct_count(models))
 
 
 def majority_vote(models: Sequence[str]) -> Column:
-    """1 if more than half of the models are right."""
-    return (correct_count(models) >= len(models) // 2 + 1).cast("int")
+    """1 if more than half of the models that answered are right; NULL if none answered."""
+    return _if_scored(models, (2 * correct_count(models) > scored_count(models)).cast("int"))
 
 
 def any_error(models: Sequence[str]) -> Column:
-    return (correct_count(models) < len(models)).cast("int")
+    """1 if a model that answered is wrong; NULL if none answered."""
+    return _if_scored(models, (correct_count(models) < scored_count(models)).cast("int"))
 
 
 def all_wrong(models: Sequence[str]) -> Column:
-    return correct_count(models) == 0
+    """Whether there are answers and all of them are wrong; never NULL."""
+    return (scored_count(models) > 0) & (correct_count(models) == 0)
 
 
 # Names of the three cohorts, and of the marks and colours in charts.
@@ -114,7 +128,8 @@ MARK_NAMES = {0: "All correct", 1: "At least 1 error"}
 
 
 def cohort(models: Sequence[str], label: str = "label", fake: str = "CG", real: str = "OR") -> Column:
-    """Genuine text, fake that at most one model missed, or fake that more missed."""
+    """Genuine text, fake that at most one model missed, or fake that more missed; NULL for a
+    fake that no model judged."""
     return (
         F.when(F.col(label) == real, GENUINE)
         .when((F.col(label) == fake) & (difficulty(models) <= 1), CAUGHT)
@@ -132,10 +147,8 @@ def display_value(flag: Column, names: dict[int, str]) -> Column:
 def joint_failures(models: Sequence[str]) -> dict[str, Column]:
     """For every pair of models, and for all of them: do they fail together?"""
     flags = {
+        # NULL where one of the two gave no answer and the other is wrong
         f"{a}__{b}__wrong": ((F.col(a) == 0) & (F.col(b) == 0)) for a, b in combinations(models, 2)
     }
-    together = F.lit(True)
-    for m in models:
-        together = together & (F.col(m) == 0)
-    flags["all_wrong"] = together
+    flags["all_wrong"] = all_wrong(models)
     return flags

@@ -47,8 +47,8 @@ def shares(df: DataFrame, by: str, within: Sequence[str] = ()) -> DataFrame:
 
 
 def agreement(wide: DataFrame, models: Sequence[str]) -> DataFrame:
-    """How often each pattern of right (1) and wrong (0) models occurs."""
-    pattern = F.concat_ws("-", *[F.col(m).cast("string") for m in models])
+    """How often each pattern of right (1), wrong (0) and silent (-) models occurs."""
+    pattern = F.concat_ws("-", *[F.coalesce(F.col(m).cast("string"), F.lit("-")) for m in models])
     return frequencies(wide.select(pattern.alias("pattern")), "pattern")
 
 

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriscope.shared import pinned, settle
+from veriscope.shared import broadcast_if_small, pinned, settle
 
 
 def seeded_hash(key: str = "id", seed: int = 42) -> Column:
@@ -112,18 +112,28 @@ def fold_no(folds: int, key: str = "id", seed: int = 42) -> Column:
     return F.floor(hash_fraction(key, seed) * folds).cast("int")
 
 
-def number_rows(stored: DataFrame, name: str = "id", first: int = 1) -> DataFrame:
+def _file_order(path: Column) -> list[Column]:
+    """Sorts part files by their number, others by name."""
+    return [F.regexp_replace(path, r"part-\d+.*$", ""), F.regexp_extract(path, r"part-(\d+)", 1).try_cast("long"), path]
+
+
+def number_rows(stored: DataFrame, name: str = "id", first: int = 1, source: str | None = None) -> DataFrame:
     """Consecutive ids in file order for a Parquet-backed table.
 
-    A row's place inside its file comes from the file itself, so only one count per
-    file is aggregated and no row moves.
+    With ``source``, a column that names the file each row was imported from, rows are
+    numbered in the order of those files and inside them.  A row's place comes from the
+    Parquet file itself, so only one count per file is aggregated and no row moves.
     """
-    placed = stored.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    sizes = stored.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
+    parquet = F.col("_metadata.file_path")
+    placed = stored.withColumns({"_parquet": parquet, "_row": F.col("_metadata.row_index")})
+    origin = F.col(source) if source else parquet
+    sizes = stored.select(origin.alias("_origin"), parquet.alias("_parquet"), F.col("_metadata.row_index").alias("_row")).groupBy(
+        "_origin", "_parquet").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy(  # a row per file
+        *_file_order(F.col("_origin")), *_file_order(F.col("_parquet"))).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settle(sizes.select("_origin", "_parquet", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("_first")).alias("_offset")))
     return (
-        placed.join(pinned(offsets, max_rows=1_000_000), "_file")
+        placed.withColumn("_origin", origin).join(broadcast_if_small(offsets), ["_origin", "_parquet"])
         .withColumn(name, F.col("_offset") + F.col("_row") + first)
-        .drop("_file", "_row", "_offset")
+        .drop("_parquet", "_row", "_offset", "_origin")
     )

@@ -221,6 +221,18 @@ ORACLE = {
                      CAST((abs(first_only - second_only) - 1) ** 2 AS DOUBLE) / (first_only + second_only) END AS chi
               FROM ({_pair("rule_length", "rule_variety")} UNION ALL {_pair("rule_length", "rule_punct")}
                     UNION ALL {_pair("rule_variety", "rule_punct")}))""", "wide"),
+    "mcnemar_p_values": sql(f"""
+        , tested AS (
+          SELECT *, CASE WHEN first_only + second_only > 0 THEN
+                   CAST((abs(first_only - second_only) - 1) ** 2 AS DOUBLE) / (first_only + second_only) END AS chi
+          FROM ({_pair("rule_length", "rule_variety")} UNION ALL {_pair("rule_length", "rule_punct")}
+                UNION ALL {_pair("rule_variety", "rule_punct")})),
+        roots AS (SELECT *, sqrt(chi / 2) AS x FROM tested)
+        SELECT * EXCLUDE (chi, x), round(chi, 6) AS chi2, coalesce(chi > 3.841458820694124, false) AS significant,
+               CASE WHEN x = 0 THEN 1.0 WHEN x > 6 THEN 0.0
+                    ELSE round(1 - exp(-x * x) * list_sum(list_transform(range(200), lambda n:
+                         exp((2 * n + 1) * ln(x) - lgamma(n + 1.5)))), 6) END AS p_value
+        FROM roots""", "wide"),
     "category_accuracy": sql(f"SELECT category, count(*) AS n, {ACCURACY_COLUMNS} FROM wide GROUP BY category", "wide"),
     "rating_accuracy": sql(f"SELECT rating, count(*) AS n, {ACCURACY_COLUMNS} FROM wide GROUP BY rating", "wide"),
     "length_bin_accuracy": sql(f"""

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriscope.operators.consolidate import (
-    MARK_COLOURS, MARK_NAMES, all_wrong, any_error, difficulty, display_value, joint_failures,
+    MARK_COLOURS, MARK_NAMES, all_wrong, any_error, attach_flags, cohort, difficulty, display_value, joint_failures,
+    majority_vote,
 )
 from veriscope.operators.metrics import agreement, disagreement_labels, frequencies
 from veriscope.operators.terms import term_frequencies
 from veriscope.plans.ctes import STOP_WORDS as STOP_SQL
 from veriscope.plans.ctes import sql
-from veriscope.plans.tables import MODELS, STOP_WORDS, documents, rounded, wide
+from veriscope.plans.tables import MODELS, STOP_WORDS, documents, labels, predictions, rounded, wide
 from veriscope.shared import broadcast_if_small, settle
 
 
@@ -77,7 +78,34 @@ def term_freq_corpus(spark, sf_dir):
     return term_frequencies(documents(spark, sf_dir), 50, STOP_WORDS)
 
 
+def _gaps(spark, sf_dir):
+    """Labelled texts of which one model left out some, and all models a few."""
+    known = predictions(spark, sf_dir).where((F.col("id") % 35 != 0) & ((F.col("model") != "rule_variety") | (F.col("id") % 7 != 0)))
+    return attach_flags(labels(spark, sf_dir), known, MODELS)
+
+
+def agreement_with_gaps(spark, sf_dir):
+    return agreement(_gaps(spark, sf_dir), MODELS)
+
+
+def difficulty_with_gaps(spark, sf_dir):
+    return _gaps(spark, sf_dir).groupBy(difficulty(MODELS).alias("difficulty")).agg(F.count("*").alias("n"))
+
+
+def cohort_with_gaps(spark, sf_dir):
+    return _gaps(spark, sf_dir).groupBy(cohort(MODELS).alias("cohort")).agg(F.count("*").alias("n"))
+
+
+def votes_with_gaps(spark, sf_dir):
+    flags = {"vote": majority_vote(MODELS), "any_error": any_error(MODELS), **joint_failures(MODELS)}
+    return _gaps(spark, sf_dir).select("id", *[c.alias(n) for n, c in flags.items()])
+
+
 QUERIES = {
+    "agreement_with_gaps": agreement_with_gaps,
+    "difficulty_with_gaps": difficulty_with_gaps,
+    "cohort_with_gaps": cohort_with_gaps,
+    "votes_with_gaps": votes_with_gaps,
     "model_agreement": model_agreement,
     "all_models_wrong": all_models_wrong,
     "all_wrong_by_category": all_wrong_by_category,
@@ -98,7 +126,29 @@ def _top_terms(source: str) -> str:
         WHERE term NOT IN ({STOP_SQL}) GROUP BY term ORDER BY freq DESC, term LIMIT 50"""
 
 
+GAPS = """, gaps AS (
+    SELECT id, label, CASE WHEN id % 35 <> 0 THEN rule_length END AS a, CASE WHEN id % 7 <> 0 THEN rule_variety END AS b,
+           CASE WHEN id % 35 <> 0 THEN rule_punct END AS c FROM wide),
+  counted AS (
+    SELECT *, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) AS hits,
+           (a IS NOT NULL)::INTEGER + (b IS NOT NULL)::INTEGER + (c IS NOT NULL)::INTEGER AS answers FROM gaps)
+"""
+
 ORACLE = {
+    "agreement_with_gaps": sql(GAPS + """
+        SELECT coalesce(a::VARCHAR, '-') || '-' || coalesce(b::VARCHAR, '-') || '-' || coalesce(c::VARCHAR, '-') AS pattern,
+               count(*) AS count FROM counted GROUP BY pattern""", "wide"),
+    "difficulty_with_gaps": sql(GAPS + """
+        SELECT CASE WHEN answers > 0 THEN answers - hits END AS difficulty, count(*) AS n FROM counted GROUP BY difficulty""", "wide"),
+    "cohort_with_gaps": sql(GAPS + """
+        SELECT CASE WHEN label = 'OR' THEN 'genuine' WHEN answers = 0 THEN NULL WHEN answers - hits <= 1 THEN 'fake_caught'
+               ELSE 'fake_escaped' END AS cohort, count(*) AS n FROM counted GROUP BY cohort""", "wide"),
+    "votes_with_gaps": sql(GAPS + """
+        SELECT id, CASE WHEN answers > 0 THEN CAST(2 * hits > answers AS INTEGER) END AS vote,
+               CASE WHEN answers > 0 THEN CAST(hits < answers AS INTEGER) END AS any_error,
+               a = 0 AND b = 0 AS rule_length__rule_variety__wrong, a = 0 AND c = 0 AS rule_length__rule_punct__wrong,
+               b = 0 AND c = 0 AS rule_variety__rule_punct__wrong, answers > 0 AND hits = 0 AS all_wrong
+        FROM counted""", "wide"),
     "model_agreement": sql("""
         SELECT concat_ws('-', rule_length, rule_variety, rule_punct) AS pattern, count(*) AS count
         FROM wide GROUP BY pattern""", "wide"),

@@ -6,6 +6,7 @@ Parameters are small: the queries exercise the jobs, not the best accuracy.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from veriscope.learning.evaluation import (
 )
 from veriscope.learning.remote import score_remotely
 from veriscope.learning.vectors import (
-    annotate, encode, explained_variance, fit_projection, fit_word_vectors, project, star_sentiment,
+    annotate, encode, explained_variance, fit_projection, hashed_word_vectors, project, star_sentiment,
 )
 from veriscope.operators.consolidate import any_error, difficulty
 from veriscope.operators.metrics import accuracy_with_interval, best_epoch, fold_summary
@@ -68,25 +69,35 @@ def _vector_parts(spark, sf_dir):
     return placed.where("part = 'train'").drop("part"), placed.where("part = 'test'").drop("part")
 
 
+def _network(spark, sf_dir):
+    """Feature stages, network and history; epochs are chosen on a part of the training rows."""
+    train, _ = _vector_parts(spark, sf_dir)
+    usable = train.where("embedding IS NOT NULL").withColumn("held", hash_fraction(seed=7) < 0.2)
+    prepared, vectors = fit_features(usable, vector_category_rating(), keep=["held"])
+    size = vectors.select("features").first().features.size
+    network, history = early_stopped_epochs(
+        vectors.where("NOT held"), vectors.where("held"), lambda n: dense_network(size, (16, 8), n), (2, 5, 10, 20),
+        log_loss_and_accuracy, patience=2,
+    )
+    return prepared, network, history
+
+
 def mlp_predictions(spark, sf_dir):
-    train, test = _vector_parts(spark, sf_dir)
-    fitted = fit_classifier(train, vector_category_rating(), lambda n: dense_network(n, (16, 8), 20))
-    scored = fitted.model.transform(test)
-    return scored.select(
-        "id", "label", "predicted_label", over_threshold(F.col("probability")).alias("over_threshold"),
+    """The network's answer for every test text; none for a text without vector."""
+    _, test = _vector_parts(spark, sf_dir)
+    prepared, network, _ = _network(spark, sf_dir)
+    names = prepared.stages[0].labels
+    coded = PipelineModel(stages=prepared.stages[1:]).transform(test.where("embedding IS NOT NULL"))
+    scored = network.transform(coded).select(
+        "id", "label", F.array(*map(F.lit, names))[F.col("prediction").cast("int")].alias("predicted_label"),
+        over_threshold(F.col("probability")).alias("over_threshold"),
         F.round(vector_to_array("probability")[1], 3).alias("p_genuine"),
     )
+    return scored.unionByName(test.where("embedding IS NULL").select("id", "label"), allowMissingColumns=True)
 
 
 def _mlp_history(spark, sf_dir):
-    train, check = _vector_parts(spark, sf_dir)
-    prepared, vectors = fit_features(train, vector_category_rating())
-    size = vectors.select("features").first().features.size
-    held = settle(prepared.transform(check).select("id", "target", "features"))
-    _, history = early_stopped_epochs(
-        vectors, held, lambda n: dense_network(size, (16, 8), n), (2, 5, 10, 20), log_loss_and_accuracy, patience=2
-    )
-    return history
+    return _network(spark, sf_dir)[2]
 
 
 def mlp_history(spark, sf_dir):
@@ -141,10 +152,10 @@ def pca_50(spark, sf_dir):
                                   F.aggregate("components", F.lit(0.0), lambda a, x: a + x * x).alias("energy")))
 
 
-def word2vec_vectors(spark, sf_dir):
-    texts = documents(spark, sf_dir)
-    model = fit_word_vectors(texts, size=8, min_count=50, max_words=5000)
-    return model.transform(texts).select("id", F.size(vector_to_array("embedding")).alias("dimensions"))
+def word_vectors(spark, sf_dir):
+    """Hashed word directions averaged by text, in eight places."""
+    vectors = hashed_word_vectors(documents(spark, sf_dir), size=8)
+    return rounded(vectors.select("id", *[F.col("embedding")[i].alias(f"v{i}") for i in range(8)]))
 
 
 def _length_encoder():
@@ -224,7 +235,7 @@ QUERIES = {
     "param_search": param_search,
     "pca_2d": pca_2d,
     "pca_50": pca_50,
-    "word2vec_vectors": word2vec_vectors,
+    "word_vectors": word_vectors,
     "encoded_texts": encoded_texts,
     "scored_stars": scored_stars,
     "annotated_texts": annotated_texts,
@@ -240,7 +251,17 @@ ASKED = """, asked AS (
            CASE WHEN n % 7 = 0 THEN 3 ELSE 1 END AS attempts FROM asked)
 """
 
+PLACES = ", ".join(
+    f"round(sum(CASE WHEN place = {i} THEN sign ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS v{i}" for i in range(8))
+
 ORACLE = {
+    "word_vectors": sql(rf"""
+        , hashed AS (
+          SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) AS n
+          FROM (SELECT id, unnest(regexp_extract_all(lower(text_), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM docs)),
+        placed AS (SELECT id, (n // 2) % 8 AS place, CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END AS sign FROM hashed),
+        vectors AS (SELECT id, {PLACES} FROM placed GROUP BY id)
+        SELECT d.id, v.* EXCLUDE (id) FROM docs d LEFT JOIN vectors v ON d.id = v.id""", "docs"),
     "encoded_texts": sql("""
         SELECT id, length(text_) AS chars, length(text_) - length(replace(text_, ' ', '')) AS blanks FROM docs""", "docs"),
     "scored_stars": sql("""

@@ -207,7 +207,7 @@ def _tfidf_sql(source: str) -> str:
 
 
 FIXED_BIN = """CASE WHEN wl > 0 AND wl <= 20 THEN 1 WHEN wl > 20 AND wl <= 50 THEN 2 WHEN wl > 50 AND wl <= 100 THEN 3
-    WHEN wl > 100 AND wl <= 200 THEN 4 WHEN wl > 200 AND wl <= 500 THEN 5 WHEN wl > 500 AND wl <= 9999 THEN 6 END"""
+    WHEN wl > 100 AND wl <= 200 THEN 4 WHEN wl > 200 AND wl <= 500 THEN 5 WHEN wl > 500 THEN 6 END"""
 
 ORACLE = {
     "text_features": sql(f"SELECT {NATIVE_SQL} FROM native", "native"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
@@ -17,7 +19,9 @@ from veriscope.operators.selection import (
 )
 from veriscope.plans.ctes import sql
 from veriscope.plans.tables import documents, facts, labels, reviews, rounded, rules
-from veriscope.sources.reviews import category_columns, encoded_label, one_hot_category, scaled_stars
+from veriscope.shared import shared_folder
+from veriscope.sources.predictions import write_csv
+from veriscope.sources.reviews import category_columns, category_rows, encoded_label, import_reviews, one_hot_category, scaled_stars
 
 TEMPLATE = "Decide whether a review is genuine.\nClassification rules:\n- Answer in JSON.\n"
 # The answers given to texts by id modulo their number.
@@ -51,11 +55,26 @@ def holdout_parts(spark, sf_dir):
 
 
 def one_hot_rating_norm(spark, sf_dir):
+    """The ones of the category's coding as rows, with the scaled rating."""
     texts = documents(spark, sf_dir).drop("text_")
-    listed = sorted(row.category for row in texts.select("category").distinct().limit(1001).collect())
-    if len(listed) > 1000:
-        raise ValueError("too many categories for a column each; use one_hot_category")
-    return rounded(category_columns(texts, listed).withColumn("rating_norm", scaled_stars(F.col("rating"))))
+    scaled = texts.select("id", scaled_stars(F.col("rating")).alias("rating_norm"))
+    return rounded(category_rows(texts).join(scaled, "id"))
+
+
+def listed_categories(spark, sf_dir):
+    """A 0/1 column for each category of a list."""
+    return category_columns(documents(spark, sf_dir).select("id", "category"), ["src0", "src1", "none"])
+
+
+def imported_reviews(spark, sf_dir):
+    """All texts written as two CSV folders of different size and column order, imported by name."""
+    folder = f"{shared_folder(spark)}/veriscope-csv-{uuid.uuid4().hex}"
+    texts = documents(spark, sf_dir).withColumn("label", F.when(F.col("id") % 2 == 0, "OR").otherwise("CG"))
+    few, many = texts.where("id % 5 = 0"), texts.where("id % 5 <> 0")
+    write_csv(few.repartitionByRange(3, "id").sortWithinPartitions("id").select("label", "category", "text_", "rating"), f"{folder}/a")
+    write_csv(many.repartitionByRange(3, "id").sortWithinPartitions("id").select("category", "rating", "label", "text_"), f"{folder}/b")
+    numbered = import_reviews(spark, [f"{folder}/a", f"{folder}/b"])
+    return numbered.select("id", "category", "rating", "label", F.md5("text_").alias("text_md5"))
 
 
 def row_numbers(spark, sf_dir):
@@ -126,8 +145,10 @@ QUERIES = {
     "label_encoding": label_encoding,
     "fitted_label_codes": fitted_label_codes,
     "one_hot_rating_norm": one_hot_rating_norm,
+    "listed_categories": listed_categories,
     "category_vectors": category_vectors,
     "holdout_parts": holdout_parts,
+    "imported_reviews": imported_reviews,
     "row_numbers": row_numbers,
     "stratified_split": split,
     "seeded_samples": seeded_samples,
@@ -139,10 +160,6 @@ QUERIES = {
 }
 
 HASH = "md5(concat('42:', CAST(id AS VARCHAR)))"
-ONE_HOT = ", ".join(
-    f"CAST(category = 'src{i}' AS INTEGER)::DOUBLE AS category_src{i}" for i in range(20)
-)
-
 ORACLE = {
     "label_encoding": """
         SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'OR' ELSE 'CG' END AS label,
@@ -157,8 +174,16 @@ ORACLE = {
         SELECT id, CASE WHEN x < 0.2 THEN 'test' ELSE 'train' END AS part, CAST(floor(x * 3) AS INTEGER) AS fold
         FROM (SELECT id, CAST(concat('0x', substr({HASH}, 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS x
               FROM (SELECT doc_id AS id FROM documents))""",
-    "one_hot_rating_norm": sql(f"""
-        SELECT id, category, rating, {ONE_HOT}, round((rating - 1) / 4, 6) AS rating_norm FROM docs""", "docs"),
+    "one_hot_rating_norm": sql("""
+        SELECT id, category, CAST(1 AS DOUBLE) AS value, round((rating - 1) / 4, 6) AS rating_norm FROM docs
+        WHERE category IS NOT NULL""", "docs"),
+    "listed_categories": sql("""
+        SELECT id, category, CAST(coalesce(category = 'src0', false) AS DOUBLE) AS category_src0,
+               CAST(coalesce(category = 'src1', false) AS DOUBLE) AS category_src1, CAST(0 AS DOUBLE) AS category_none
+        FROM docs""", "docs"),
+    "imported_reviews": sql("""
+        SELECT row_number() OVER (ORDER BY id % 5 <> 0, id) AS id, category, rating,
+               CASE WHEN id % 2 = 0 THEN 'OR' ELSE 'CG' END AS label, md5(text_) AS text_md5 FROM docs""", "docs"),
     "row_numbers": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS id FROM documents",
     "stratified_split": f"""
         WITH keyed AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'OR' ELSE 'CG' END AS label FROM labels),

@@ -25,17 +25,11 @@ BASE = ("category", "rating", "label")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts: id, category, rating, text_.
-
-    An input of fewer splits than cores is spread out by id; a large one is left as it is.
-    """
-    read = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    texts = read.select(
+    """All texts: id, category, rating, text_."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("id"), F.col("source").alias("category"),
         (1 + F.col("n_chars") % 5).cast("double").alias("rating"), F.col("text").alias("text_"),
     )
-    cores = spark.sparkContext.defaultParallelism
-    return texts.repartition(cores, "id") if texts.rdd.getNumPartitions() < cores else texts
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

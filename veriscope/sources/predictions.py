@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriscope.sources.reviews import read_csv
+from veriscope.sources.reviews import read_csv_by_name
 
 BASE_COLUMNS = ("id", "category", "rating", "label", "text_")
 # Fixed value: how a prediction file is named.
@@ -29,33 +27,23 @@ def prediction_files(spark: SparkSession, folder: str) -> list[str]:
 def read_predictions(spark: SparkSession, folder: str, columns: Sequence[str] = BASE_COLUMNS) -> DataFrame:
     """Every model's predictions as (model, correct, columns…).
 
-    Files may differ in column order, and Spark applies one header to a whole read,
-    so the files are read once per header and united by name.
+    Files may differ in column order and in which of the columns they have.
     """
-    by_header = defaultdict(list)
-    for path in prediction_files(spark, folder):
-        by_header[tuple(read_csv(spark, path).columns)].append(path)
-    if not by_header:
+    files = prediction_files(spark, folder)
+    if not files:
         raise FileNotFoundError(f"no prediction files in {folder}")
-    parts = []
-    for header, paths in by_header.items():
-        raw = read_csv(spark, paths).toDF(*header)
-        source = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
-        parts.append(raw.select(
-            F.regexp_extract(source, FILE_NAME, 2).alias("model"),
-            (F.regexp_extract(source, FILE_NAME, 1) == "correct").cast("int").alias("correct"),
-            *[F.col(c) for c in columns if c in header],
-        ))
-    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return united.withColumns({
-        "id": F.col("id").cast("long"), "rating": F.col("rating").cast("double"),
-    })
+    raw = read_csv_by_name(spark, files, columns, optional=columns)
+    source = F.url_decode(F.regexp_replace("_file", r"\+", "%2B"))
+    return raw.select(
+        F.regexp_extract(source, FILE_NAME, 2).alias("model"),
+        (F.regexp_extract(source, FILE_NAME, 1) == "correct").cast("int").alias("correct"), *columns,
+    ).withColumns({"id": F.col("id").cast("long"), "rating": F.col("rating").cast("double")})
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """One Parquet table partitioned by model and outcome, sorted by id inside each file."""
     (
-        predictions.where("correct IS NOT NULL").sortWithinPartitions("model", "correct", "id")
+        predictions.where("correct IS NOT NULL").hint("rebalance", "model", "correct").sortWithinPartitions("model", "correct", "id")
         .write.mode("overwrite").partitionBy("model", "correct").parquet(path)
     )
 

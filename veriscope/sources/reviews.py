@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from veriscope.operators.selection import number_rows
-from veriscope.shared import settle
+from veriscope.shared import broadcast_if_small, settle
 
 REVIEW_SCHEMA = StructType([
     StructField("category", StringType()),
@@ -28,12 +30,48 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, s
     return reader.schema(schema).csv(path) if schema else reader.csv(path)
 
 
-def import_reviews(spark: SparkSession, path: str, schema: StructType = REVIEW_SCHEMA) -> DataFrame:
-    """Read a review CSV once, keep it as Parquet, and number its rows from 1 in file order.
+def read_csv_by_name(spark: SparkSession, path: str | list[str], names: Sequence[str], sep: str = ",",
+                     optional: Sequence[str] = ()) -> DataFrame:
+    """The named columns of all CSV files at ``path`` as strings, whatever their order, and ``_file``.
 
-    A quoted multi-line CSV cannot be split; the Parquet copy can.
+    Each file's own header says where a column is; a file without one of the names that are
+    not ``optional`` is an error.  The headers are read in one job for all files.
+    """
+    place = F.col("_metadata.file_path")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where("_metadata.file_block_start = 0")
+    first = lines.select(place.alias("_file"), "value", F.monotonically_increasing_id().alias("_at")).groupBy("_file").agg(
+        F.regexp_replace(F.min_by("value", "_at"), "^\ufeff", "").alias("line"))
+    first = settle(first)
+    width = first.agg(F.max(F.size(F.split("line", F.lit(f"[{sep}]"))))).first()[0]
+    if not width:
+        raise FileNotFoundError(f"no CSV file in {path}")
+    fields = [f"_c{i}" for i in range(width)]
+    ddl = ", ".join(f"{f} string" for f in fields)
+    header = F.from_csv("line", ddl, {"sep": sep, "escape": '"'})
+    headers = first.select("_file", F.filter(F.array(*[header[f] for f in fields]), F.isnotnull).alias("_header"))
+    for name in names:
+        if name not in optional and (lacking := headers.where(~F.array_contains("_header", name)).first()):
+            raise ValueError(f"no column {name} in {lacking['_file']}")
+    read = spark.read.option("recursiveFileLookup", True).option("multiLine", True).option("escape", '"').option("sep", sep)
+    rows = read.schema(ddl).csv(path).select(F.array(*fields).alias("_cells"), place.alias("_file")).join(
+        broadcast_if_small(headers), "_file")
+    is_header = F.regexp_replace(F.get("_cells", F.lit(0)), "^\ufeff", "") == F.get("_header", F.lit(0))
+    is_header = F.coalesce(is_header, F.lit(False)) & (
+        F.slice("_cells", F.lit(2), F.size("_header") - 1) == F.slice("_header", F.lit(2), F.size("_header") - 1))
+    return rows.where(~F.coalesce(is_header, F.lit(False))).select(
+        "_file", *[F.get("_cells", (F.array_position("_header", name) - 1).cast("int")).alias(name) for name in names])
+
+
+def import_reviews(spark: SparkSession, path: str | list[str], schema: StructType = REVIEW_SCHEMA) -> DataFrame:
+    """Read review CSVs once, by column name, keep them as Parquet, and number the rows from 1 in
+    the order of the files and inside them.
+
+    A quoted multi-line CSV cannot be split; the Parquet copy can.  A value that is not of its
+    column's type becomes NULL.
     """
-    return number_rows(settle(read_csv(spark, path, schema)))
+    raw = read_csv_by_name(spark, path, schema.names)
+    typed = raw.select("_file", *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+    return number_rows(settle(typed), source="_file").drop("_file")
 
 
 def encoded_label(label: Column) -> Column:
@@ -53,6 +91,11 @@ def category_columns(df: DataFrame, categories: list[str], column: str = "catego
     })
 
 
+def category_rows(df: DataFrame, column: str = "category", key: str = "id") -> DataFrame:
+    """The ones of a one-hot coding as rows (key, category, 1.0), for any number of categories."""
+    return df.where(F.col(column).isNotNull()).select(key, column, F.lit(1.0).alias("value"))
+
+
 def one_hot_category(df: DataFrame, column: str = "category") -> DataFrame:
     """A sparse 0/1 vector per row, one place per category seen."""
     indexer = StringIndexer(inputCol=column, outputCol="_index", stringOrderType="alphabetAsc", handleInvalid="keep")
