@@ -38,7 +38,7 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("joined_rows", [1, 2, 5, 256])
+@pytest.mark.parametrize("joined_rows", [4, 256])
 def test_links_connect_what_plain_comparison_does(spark, joined_rows):
     """Both ways of linking, with chains, crowds and random fingerprints."""
     draw = random.Random(5)
@@ -66,7 +66,7 @@ def test_components_of_paths_cycles_and_stars(spark):
 def test_cases(spark):
     rows = [(5, "One two THREE four", "a"), (3, "one two three four", "b"), (3, "one two three four", "b"), (7, None, "c"),
             (8, "", "d"), (9, "x", "e"), (10, "X", "f"), (None, "one two three four", "g"), (None, "lonely", "h"),
-            (11, "word " * 20_000, "i"), (12, "Á b c", "j")]
+            (11, "word " * 2_000, "i"), (12, "Á b c", "j")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = near_duplicates(df).collect()
     assert len(got) == len(rows)

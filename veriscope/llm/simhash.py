@@ -21,7 +21,7 @@ from __future__ import annotations
 import string
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +57,16 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: Column, size: int = SHINGLE_WORDS) -> Column:
-    @F.pandas_udf("long")
-    def counted(hashes: pd.Series) -> pd.Series:
-        return hashes.map(majority_bits).astype("int64")
+def fingerprints(df: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id`` and ``fp`` of every row; the shingles are hashed by Spark, their bits counted in numpy."""
+    hashed = df.select("doc_id", shingle_hashes(F.col("text"), size).alias("hashes"))
 
-    return counted(shingle_hashes(text, size))
+    def counted(batches):
+        for batch in batches:
+            found = [majority_bits(hashes.values.to_numpy()) for hashes in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+
+    return hashed.mapInArrow(counted, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def fingerprint_hex(value: Column) -> Column:
@@ -140,7 +144,7 @@ def fingerprint_links(fingerprints: DataFrame, joined_rows: int = JOINED_ROWS) -
 def near_duplicates(df: DataFrame, size: int = SHINGLE_WORDS, joined_rows: int = JOINED_ROWS) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` (the smallest doc_id reachable) of every row."""
     has_columns(df, "doc_id", "text")
-    rows = settle(df.select("doc_id", fingerprint(F.col("text"), size).alias("fp")), compact=True)
+    rows = settle(fingerprints(df, size), compact=True)
     distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = components(fingerprint_links(distinct.select("fp"), joined_rows))
     # only fingerprints with links have a component of their own
