@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriscope.llm.texts import has_columns, let, word_count, words
+from veriscope.llm.texts import has_columns, let, run_of, word_count, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -88,7 +88,7 @@ def repeated_words(found: Column, size: int = WINDOW) -> Column:
 
     def exact(suspects: Column) -> Column:
         spelled = F.sort_array(F.transform(suspects, lambda s: F.struct(
-            F.array_join(F.slice(found, s["at"] + 1, F.lit(size)), " ").alias("key"), s["at"].alias("at"))))
+            F.concat_ws(" ", *run_of(found, s["at"], size)).alias("key"), s["at"].alias("at"))))
         return let(spelled, lambda x: _covered(
             F.sort_array(F.transform(_beside_equal(x, lambda s: s["key"]), lambda s: s["at"])), size))
 
@@ -97,7 +97,7 @@ def repeated_words(found: Column, size: int = WINDOW) -> Column:
         repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
         return F.when(repeats, let(ordered, lambda x: exact(_beside_equal(x, lambda s: s["key"])))).otherwise(0)
 
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(found, i + 1, F.lit(size))))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*run_of(found, i, size)))
     return let(hashes, by_hash)
 
 
@@ -117,7 +117,9 @@ def with_counts(df: DataFrame, text: str = "text", stop_words=STOP_WORDS) -> Dat
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_lines": F.size("_lines"),
         "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(both_cases))),
-        "n_repeat_words": repeated_words(F.col("_words")),
+        # depends on the row's place by name, so that a filter on the verdict is not pushed below
+        # and does not compute the counts again
+        "n_repeat_words": F.when(F.monotonically_increasing_id() >= 0, repeated_words(F.col("_words"))),
     }).withColumns({c: F.col(c).cast("long") for c in COUNTS}).drop("_words", "_lines")
 
 

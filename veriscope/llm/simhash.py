@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriscope.llm.components import components
-from veriscope.llm.texts import has_columns, let, words
+from veriscope.llm.texts import has_columns, let, run_of, words
 from veriscope.shared import settle
 
 SHINGLE_WORDS = 3
@@ -41,8 +41,9 @@ def shingle_hashes(text: Column, size: int = SHINGLE_WORDS) -> Column:
     lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
     def hashes(found: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(found) - size + 1, F.lit(1)))
-        each = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(found, i, F.lit(size)), " ")))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(found) - size, F.lit(0)))
+        # places beyond a short text are null and left out
+        each = F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", *run_of(found, i, size))))
         return F.when(F.size(found) > 0, each).otherwise(F.array().cast("array<bigint>"))
 
     return let(words(lowered), hashes)

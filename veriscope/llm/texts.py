@@ -26,6 +26,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def run_of(items: Column, start: Column, size: int) -> list[Column]:
+    """``size`` items from place ``start`` (from 0); unlike a slice, this does not copy the array."""
+    return [F.get(items, start + k) for k in range(size)]
+
+
 def has_columns(df, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
