@@ -176,19 +176,24 @@ class Mix:
         return words.unionByName(without)
 
     def runs(self) -> DataFrame:
-        """The words taken, as runs of each document: ``_row``, ``epoch``, ``low``, ``high``."""
+        """The words taken, as runs of each document: ``_row`` and ``_runs``, an array of
+        (epoch, low, high, whole) in order."""
         found = self.pieces().join(self.blocks.select("source_no", "block", "epoch"), ["source_no", "block"])
-        spans = found.groupBy("_row", "epoch").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_spans"))
-        # of neighbouring spans, one run
-        joined = F.aggregate(
-            "_spans", F.array().cast("array<struct<low:bigint,high:bigint>>"),
-            lambda runs, s: F.when(
-                F.coalesce(F.get(runs, F.size(runs) - 1)["high"] == s["low"], F.lit(False)),
-                F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(
-                    F.get(runs, F.size(runs) - 1)["low"].alias("low"), s["high"].alias("high")))),
-            ).otherwise(F.concat(runs, F.array(F.struct(s["low"].cast("long").alias("low"), s["high"].cast("long").alias("high"))))))
-        return spans.select("_row", "epoch", F.explode(joined).alias("_run")).select(
-            "_row", "epoch", "_run.low", "_run.high")
+        span = F.struct("epoch", "low", "high", "size")
+        spans = found.groupBy("_row").agg(F.sort_array(F.collect_list(span)).alias("_spans"))
+
+        def other(i: Column, field: str) -> Column:
+            return F.get("_spans", i)[field]
+
+        # of neighbouring spans, one run: from a span that continues none to one that none continues
+        begin = F.filter("_spans", lambda s, i: F.coalesce(
+            (other(i - 1, "epoch") != s["epoch"]) | (other(i - 1, "high") != s["low"]), F.lit(True)))
+        end = F.filter("_spans", lambda s, i: F.coalesce(
+            (other(i + 1, "epoch") != s["epoch"]) | (other(i + 1, "low") != s["high"]), F.lit(True)))
+        joined = F.zip_with(begin, end, lambda a, b: F.struct(
+            a["epoch"].alias("epoch"), a["low"].alias("low"), b["high"].alias("high"),
+            ((a["low"] == 0) & (b["high"] == a["size"])).alias("whole")))
+        return spans.select("_row", joined.alias("_runs"))
 
 
 def sized(df: DataFrame, *keep: str) -> DataFrame:
@@ -198,25 +203,30 @@ def sized(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(row.alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
 
 
-def words_between(text: Column, low: Column, high: Column) -> Column:
-    """The words numbered ``low`` to ``high`` with the white space after them (and before the first)."""
+def spaced_words(text: Column) -> Column:
+    """The words with the white space after them (and before the first): joined, they are the text."""
     blank = f"[{''.join(f'{chr(92)}x{ord(c):02x}' for c in BLANKS)}]"
-    spaced = F.regexp_extract_all(text, F.lit(rf"(?:^{blank}+)?{WORD}{blank}*"), F.lit(0))
-    return F.array_join(F.slice(spaced, (low + 1).cast("int"), (high - low).cast("int")), "")
+    return F.regexp_extract_all(text, F.lit(rf"(?:^{blank}+)?{WORD}{blank}*"), F.lit(0))
 
 
 def mixed_documents(df: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The mix as documents: what it takes of each, a row per pass over the source and run of words.
 
-    A document taken whole keeps its text as it is.  ``n_chars``, if there, is set anew.
+    A document taken whole keeps its text as it is; of another, the words are found once for
+    all its runs.  ``n_chars``, if there, is set anew.
     """
     stored = settle(df.withColumn("_row", F.monotonically_increasing_id()))
     runs = Mix(sized(stored), weights, block_words, seed).runs()
-    sizes = word_count(F.col("text"))
-    mixed = stored.join(runs.withColumnsRenamed({"epoch": "_epoch", "low": "_low", "high": "_high"}), "_row")
-    part = F.when((F.col("_low") == 0) & (F.col("_high") == sizes), F.col("text")).otherwise(
-        words_between(F.col("text"), F.col("_low"), F.col("_high")))
-    result = mixed.withColumn("text", part)
+    text = F.col("text")
+
+    def part(run: Column, found: Column) -> Column:
+        own = F.transform(F.sequence(run["low"], run["high"] - 1), lambda k: F.get(found, k.cast("int")))
+        return F.when(run["whole"], text).otherwise(F.array_join(own, ""))
+
+    parts = F.when(F.forall("_runs", lambda run: run["whole"]), F.transform("_runs", lambda run: text)).otherwise(
+        let(spaced_words(text), lambda found: F.transform("_runs", lambda run: part(run, found))))
+    others = [c for c in df.columns if c != "text"]
+    result = stored.join(runs, "_row").select(*others, F.explode(parts).alias("text"))
     if "n_chars" in df.columns:
         result = result.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
     return result.select(*df.columns)
