@@ -57,7 +57,7 @@ def test_windows_overlap_and_cover_all():
 def test_fit_and_score(spark):
     rows = sample(400)
     df = spark.createDataFrame([*rows, (1000, None, 0), (1001, "", 0), (1002, "x", None)], "doc_id long, text string, toxic int")
-    model = toxicity.fitted(df, documents=150)
+    model = toxicity.fitted(df, df, documents=150)
     later = sample(200, seed=1)
     cases = [(2000, None, 0, 9), (2001, "", 0, 9), (2002, "fine words " * 20_000 + "idiot moron scum idiot", 1, 9), (2000, None, 0, 9)]
     test = spark.createDataFrame([(i, t, y, 9) for i, t, y in later] + cases, "doc_id long, text string, truth int, score int")
@@ -71,8 +71,8 @@ def test_fit_and_score(spark):
 
 def test_one_class_and_no_labels(spark):
     df = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "doc_id long, text string, toxic int")
-    assert [r.score for r in toxicity.with_toxicity(df, toxicity.fitted(df)).collect()] == [0.0, 0.0]
-    assert [r.score for r in toxicity.with_toxicity(df, toxicity.fitted(df.limit(0))).collect()] == [0.0, 0.0]
+    assert [r.score for r in toxicity.with_toxicity(df, toxicity.fitted(df, df)).collect()] == [0.0, 0.0]
+    assert [r.score for r in toxicity.with_toxicity(df, toxicity.fitted(df, df.limit(0))).collect()] == [0.0, 0.0]
 
 
 def test_held_out_accuracy(spark):

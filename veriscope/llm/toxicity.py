@@ -339,10 +339,15 @@ class Scorer:
         return sigmoid(tops - self.network.limit)
 
 
-def fitted(labelled: DataFrame, documents: int = FIT_DOCUMENTS, windows: int = FIT_WINDOWS):
-    """A network fitted to (doc_id, text, toxic): the ``documents`` rows of each class with the
-    smallest hashes, at most ``windows`` windows of each."""
-    counts = {r["toxic"]: r["n"] for r in labelled.where("toxic IN (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def fitted(texts: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, windows: int = FIT_WINDOWS):
+    """A network fitted to texts (doc_id, text) by labels (doc_id, toxic): the ``documents``
+    labels of each class with the smallest hashes, at most ``windows`` windows of each text.
+
+    Labels are drawn before texts are read, so that no text is shuffled; of texts that share
+    a doc_id the smallest is used.
+    """
+    known = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / max(1, total)
     if len(counts) < 2:
@@ -359,13 +364,15 @@ def fitted(labelled: DataFrame, documents: int = FIT_DOCUMENTS, windows: int = F
                 found.append([" ".join(words[s:s + WINDOW]) for s in starts])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], names=["windows", "toxic"])
 
-    texts, toxic = [], []
-    for label in (0, 1):
-        sample = labelled.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(documents)
-        table = sample.select("text", F.col("toxic").cast("int")).mapInArrow(cut, "windows array<string>, toxic int").toArrow()
-        texts += [[window.split() for window in row] for row in table.column(0).to_pylist()]
-        toxic += [label] * table.num_rows
-    return Fitting(texts, np.array(toxic, dtype=float), share).fit()
+    drawn = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents) for label in (0, 1)]
+    # at most ``documents`` rows per class
+    sample = texts.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
+    table = (
+        sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("toxic", F.xxhash64("doc_id"), "doc_id")
+        .select("text", "toxic").mapInArrow(cut, "windows array<string>, toxic int").toArrow()
+    )
+    read = [[window.split() for window in row] for row in table.column(0).to_pylist()]
+    return Fitting(read, table.column(1).to_numpy().astype(float), share).fit()
 
 
 def toxicity(text: Column, model) -> Column:
@@ -393,5 +400,5 @@ def op7_toxicity(spark, sf_dir):
     """Every document with its score; fitted to the labelled ones that are not held out."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
-    model = fitted(documents.join(labels, "doc_id"))
+    model = fitted(documents, labels)
     return with_toxicity(documents, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
