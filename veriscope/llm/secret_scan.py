@@ -6,6 +6,11 @@ a dictionary of identifiers: the bytes that the string adds to its surroundings
 novelty.  A string known from the dictionary or the surrounding code adds next to nothing; a
 random one adds as many bytes as it has characters, and is reported.
 
+A run of encoded characters is split at ``=``, so that the name in ``name=value`` is context
+of the value; if a value is not novel as a whole, it is looked at between its name and path
+parts.  What a pattern covers is left out, and the rest of the run is measured.  Adjoining
+encoded lines (a private key's body) share their context and are measured together.
+
 Cases: a null or empty text has no findings; texts are scanned whole; repeated rows are
 scanned alike; further columns stay, a column named like the findings is replaced; an empty
 table stays empty.
@@ -14,6 +19,7 @@ table stays empty.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -33,9 +39,20 @@ SHORTEST = {"assign": 6, "access": 20, "hex": 24}
 # A long run of hexadecimal digits is found faster by its length; runs are the same.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
+SHORTEST_NOVEL = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|credential|auth|bearer|private.?key|access.?key|signature",
                        re.ASCII | re.IGNORECASE)
+# A run without the "=" between names and values; padding stays with the last one.
+PIECE = re.compile(r"[^=]+(?:=+\Z)?")
+# Parts of names and paths: words in one case or capitalised, with a short number.
+PART = re.compile(r"[^/_-]+")
+NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+[0-9]{0,3}")
+# What stands between two lines, or two dotted parts, of an encoded text; its last, short line.
+JOINT = re.compile(r"""\.|[\s"',;#>|*+]*[\n\\][\s"',;#>|*+\\]*""")
+LAST_LINE = re.compile(
+    r"""[\s"',;#>|*+]{0,8}[\n\\][\s"',;#>|*+\\]{0,23}([A-Za-z0-9/_][A-Za-z0-9+/_=-]{0,14})(?=[\x20\t"',;]*(?:[\r\n\\]|\Z))""")
+JOINT_CHARS, WRAPPED_CHARS = 24, 40
 CONTEXT_CHARS = 48
 SURROUNDING_CHARS = 256
 NOVELTY = 0.75
@@ -63,6 +80,7 @@ IDENTIFIER_PARTS = (
     "transfer type unique update upload user username util validate value variable vector verify version view virtual "
     "volume warning window worker workspace write your example changeme none null true false undefined"
 ).split()
+TRAIL = "x" * 256
 VALUES = "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 xxxxxxxxxxxxxxxxxxxxxxxx ----------------"
 
 
@@ -83,7 +101,9 @@ class Novelty:
             dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def size(self, text: str) -> int:
-        return len(self.compressor.compress(text.encode("utf-8", "replace")))
+        # the last bytes are never matched, and what shrinks by a few bytes is stored as it is;
+        # without the trail, a string would be credited with the name before it
+        return len(self.compressor.compress((text + TRAIL).encode("utf-8", "replace")))
 
     def __call__(self, text: str, start: int, end: int) -> float:
         """Marginal bytes per character of ``text[start:end]`` against what surrounds it."""
@@ -112,19 +132,98 @@ def looks_random(string: str) -> bool:
     return any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
 
 
+def encoded_blocks(text: str) -> list[list[tuple[int, int]]]:
+    """The candidates, as blocks of adjoining ones."""
+    blocks = []
+    for match in CANDIDATE.finditer(text):
+        start, end = match.span()
+        before = blocks[-1][-1][1] if blocks else -1
+        if blocks and start - before <= JOINT_CHARS and JOINT.fullmatch(text, before, start):
+            blocks[-1].append((start, end))
+        else:
+            blocks.append([(start, end)])
+    return blocks
+
+
+def merged(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover."""
+    starts, ends = [], []
+    for start, end, _ in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def uncovered(start: int, end: int, covered: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """What ``covered`` leaves of a span."""
+    starts, ends = covered
+    left, at = [], bisect_right(ends, start)
+    while at < len(starts) and starts[at] < end:
+        if starts[at] > start:
+            left.append((start, starts[at]))
+        start, at = ends[at], at + 1
+    return left + [(start, end)] if start < end else left
+
+
+def between_names(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What stands between the name and path parts of a string."""
+    found, joined = [], False
+    for part in PART.finditer(text, start, end):
+        if NAME.fullmatch(part[0]):
+            joined = False
+        else:
+            found.append((found.pop()[0] if joined else part.start(), part.end()))
+            joined = True
+    return found
+
+
+def is_name(string: str) -> bool:
+    return all(NAME.fullmatch(part) or part.isdigit() for part in PART.findall(string.rstrip("=")))
+
+
+def novel_spans(text: str, block: list[tuple[int, int]], covered, named: set[int], novelty: Novelty, threshold: float) -> list[tuple[int, int]]:
+    """The novel strings of adjoining candidates in a sensitive place; assignments start at ``named``."""
+    found = []
+
+    def novel(start: int, end: int) -> bool:
+        return looks_random(text[start:end]) and novelty(text, start, end) >= threshold
+
+    wrapped = len(block) > 1 and novelty(text, block[0][0], block[-1][1]) >= threshold
+    for start, end in block:
+        pieces = [*PIECE.finditer(text, start, end)]
+        for piece in pieces:
+            for a, b in uncovered(*piece.span(), covered):
+                # the rest of a string of which a pattern covers a part may be short, a name before it not
+                rest = (a, b) != piece.span() and b not in named
+                if b - a < (SHORTEST["assign"] if rest else SHORTEST_NOVEL):
+                    continue
+                if not is_name(text[a:b]) and (wrapped or novel(a, b)):
+                    found.append((a, b))
+                else:
+                    found += [core for core in between_names(text, a, b) if core[1] - core[0] >= SHORTEST_NOVEL and novel(*core)]
+        if all(len(p[0]) < SHORTEST_NOVEL for p in pieces) and not all(is_name(p[0]) for p in pieces):
+            # nothing between two "=" is long enough: the run as it is
+            found += [whole for whole in uncovered(start, end, covered) if whole == (start, end) and novel(*whole)]
+    start, end = block[-1]
+    if found and found[-1][1] == end and end - start >= WRAPPED_CHARS:
+        last = LAST_LINE.match(text, end)
+        if last and not is_name(last[1]):
+            found += uncovered(*last.span(1), covered)
+    return found
+
+
 def scan(text: str | None, novelty: Novelty, threshold: float = NOVELTY) -> list[dict]:
     """All findings by start, then kind."""
     if not text:
         return []
     spans = pattern_spans(text)
-    taken = sorted((start, end) for start, end, _ in spans)
-    for match in CANDIDATE.finditer(text):
-        start, end = match.span()
-        if not looks_random(match[0]) or any(a < end and start < b for a, b in taken):
-            continue
-        near = text[max(0, start - CONTEXT_CHARS):start] + " " + text[end:end + CONTEXT_CHARS]
-        if SENSITIVE.search(near) and novelty(text, start, end) >= threshold:
-            spans.append((start, end, "novel"))
+    covered, named = merged(spans), {start for start, _, kind in spans if kind == "assign"}
+    for block in encoded_blocks(text):
+        if SENSITIVE.search(text, max(0, block[0][0] - CONTEXT_CHARS), block[-1][1] + CONTEXT_CHARS):
+            spans += [(start, end, "novel") for start, end in novel_spans(text, block, covered, named, novelty, threshold)]
     spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return [{"kind": kind, "start": start, "end": end, "novelty": novelty(text, start, end)} for start, end, kind in spans]
 
