@@ -1,6 +1,6 @@
 """Fitted classifiers, projections and supplied models over the given tables.
 
-Parameters are small: the queries exercise the jobs, not the best accuracy.
+Parameters are the reference's, on all labelled rows; MLlib ends trees at depth 30.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from veriscope.plans.measures import CORRELATED
 from veriscope.plans.tables import MODELS, SUPERLATIVES, documents, labels, reviews, rounded, wide
 from veriscope.shared import settle
 
-VOCABULARY = 500
+VOCABULARY = 5000
+EPOCHS = 50
 VARIANTS = {"basic": {"shift": 0}, "improved": {"shift": 1}}
 
 
@@ -42,7 +43,7 @@ def _parts(spark, sf_dir):
 
 
 def _forest():
-    return random_forest(trees=20, depth=5)
+    return random_forest()
 
 
 def rf_predictions(spark, sf_dir):
@@ -54,7 +55,7 @@ def gbt_predictions(spark, sf_dir):
     """Boosting stops early on a validation part of the training rows."""
     train, test = _parts(spark, sf_dir)
     train = train.withColumn("held", hash_fraction(seed=7) < 0.2)
-    classifier = boosted_trees(rounds=10, depth=3, validation="held")
+    classifier = boosted_trees(validation="held")
     fitted = fit_classifier(train, text_and_rating(VOCABULARY), classifier, keep=["held"])
     return score(fitted.model, test, "boosted_trees")
 
@@ -76,8 +77,8 @@ def _network(spark, sf_dir):
     prepared, vectors = fit_features(usable, vector_category_rating(), keep=["held"])
     size = vectors.select("features").first().features.size
     network, history = early_stopped_epochs(
-        vectors.where("NOT held"), vectors.where("held"), lambda n: dense_network(size, (16, 8), n), (2, 5, 10, 20),
-        log_loss_and_accuracy, patience=2,
+        vectors.where("NOT held"), vectors.where("held"), lambda n: dense_network(size, epochs=n), range(1, EPOCHS + 1),
+        log_loss_and_accuracy,
     )
     return prepared, network, history
 
@@ -117,20 +118,16 @@ def feature_importance(spark, sf_dir):
 def difficulty_importance(spark, sf_dir):
     measured = with_native_features(documents(spark, sf_dir), superlatives=SUPERLATIVES).select("id", *CORRELATED)
     judged = wide(spark, sf_dir).select("id", difficulty(MODELS).alias("difficulty")).join(measured, "id")
-    return rounded(difficulty_importances(judged, CORRELATED, trees=20))
+    return rounded(difficulty_importances(judged, CORRELATED, depth=30))
 
 
 def curve(spark, sf_dir):
-    scores = learning_curve(
-        settle(reviews(spark, sf_dir)), lambda: text_and_rating(200), lambda: random_forest(trees=5, depth=4),
-        fractions=(0.3, 1.0), folds=2,
-    )
+    scores = learning_curve(settle(reviews(spark, sf_dir)), lambda: text_and_rating(VOCABULARY), _forest)
     return rounded(fold_summary(scores, by="fraction"))
 
 
 def param_search(spark, sf_dir):
-    space = {**FOREST_SPACE, "trees": ("int", 3, 10), "depth": ("int", 2, 5)}
-    return rounded(random_search(settle(reviews(spark, sf_dir)), text_and_rating(200), random_forest, space, trials=4))
+    return rounded(random_search(settle(reviews(spark, sf_dir)), text_and_rating(VOCABULARY), random_forest, FOREST_SPACE))
 
 
 def pca_2d(spark, sf_dir):
