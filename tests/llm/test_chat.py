@@ -47,6 +47,19 @@ def test_examples(spark):
     assert got == [(0, opening, first), (1, opening + first, second), (2, opening + first + second + tail, "")]
 
 
+def test_the_query_reads_every_example(spark, monkeypatch):
+    """What is read back comes from the examples: without one, its context, reply and length are missing."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "one"), (1, 2, "assistant", "two"), (1, 3, "user", "tail")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole, = chat.read_back(formatted).collect()
+    examples = chat.prefix_examples
+    gone = examples(formatted).where("example = 1").first()
+    monkeypatch.setattr(chat, "prefix_examples", lambda conversations: examples(conversations).where("example <> 1"))
+    less, = chat.read_back(formatted).collect()
+    assert whole.formatted_chars - less.formatted_chars == len(gone.context) + len(gone.target)
+    assert (whole.loss_chars, less.loss_chars) == (6, 3) and less.n_turns == whole.n_turns == 4
+
+
 def test_escapes_are_reversible(spark):
     df = spark.createDataFrame([(t or "",) for t in AWKWARD], "text string")
     got = df.select("text", chat.escaped(df.text).alias("e"), chat.unescaped(chat.escaped(df.text)).alias("back")).collect()

@@ -78,48 +78,51 @@ def example_ends() -> Column:
     return F.when(ends_trained, F.col("targets")).otherwise(F.concat("targets", F.array(closing)))
 
 
+def segments_of(formatted: Column) -> Column:
+    """The rendered turns of a formatted text: a closing string inside a text is escaped."""
+    return let(F.split(formatted, CLOSE), lambda parts: F.transform(
+        F.slice(parts, F.lit(1), F.size(parts) - 1), lambda s: F.concat(s, F.lit(CLOSE))))
+
+
 def prefix_examples(conversations: DataFrame) -> DataFrame:
-    """The training examples: ``conv_id``, ``example`` (from 0), ``context``, ``target``.
+    """The training examples: ``conv_id``, ``example`` (from 0), ``context``, ``target``, ``last``.
 
-    ``target`` is the rendered reply, empty in a closing example.  Writing out every prefix
+    ``target`` is the rendered reply, empty in a closing example; the ``last`` one holds all turns.  Writing out every prefix
     takes, for a conversation, the square of its turns; ``format_conversations`` holds the
     same examples by reference.
     """
-    placed = conversations.select("conv_id", "segments", F.posexplode(example_ends()).alias("example", "_end"))
+    placed = conversations.select("conv_id", "segments", F.size(example_ends()).alias("_n"),
+                                  F.posexplode(example_ends()).alias("example", "_end"))
     return placed.select(
         "conv_id", "example",
         F.array_join(F.slice("segments", F.lit(1), F.col("_end") - 1), "").alias("context"),
         F.coalesce(F.get("segments", F.col("_end") - 1), F.lit("")).alias("target"),
+        (F.col("example") == F.col("_n") - 1).alias("last"),
     )
 
 
 def read_back(conversations: DataFrame) -> DataFrame:
-    """What the formatted conversations say, parsed from their rendering.
+    """What the examples of each conversation say, parsed from their rendering.
 
-    ``formatted_chars`` counts the code points of all examples, contexts included.
+    Every example is a row of its own; it hands on its target's text and its length, and the
+    last one, which holds all turns, their texts.  ``formatted_chars`` counts the code points
+    of all examples, contexts included.
     """
-    turns = F.transform("segments", lambda s: F.concat(role_of(s), F.lit("\n"), text_of(s), F.lit("\n")))
-    replies = F.transform("targets", lambda i: text_of(F.get("segments", i - 1)))
-    parsed = conversations.select(
-        "conv_id",
-        F.size("segments").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
-        F.array_join(replies, "").alias("_loss"),
-        # every turn is part of each example that ends with it or later
-        let(example_ends(), lambda ends: F.aggregate(
-            F.sequence(F.lit(1), F.size("segments")),
-            F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("all"),
-                     F.lit(0).alias("done")),
-            lambda acc, i: let(acc["chars"] + F.length(F.get("segments", i - 1)), lambda chars: let(
-                F.when(F.get(ends, acc["done"]) == i, 1).otherwise(0), lambda hit: F.struct(
-                    chars.alias("chars"), (acc["all"] + F.when(hit == 1, chars).otherwise(0)).alias("all"),
-                    (acc["done"] + hit).alias("done")))),
-            lambda acc: acc["all"] + F.when(acc["done"] < F.size(ends), acc["chars"]).otherwise(0),
-        )).alias("formatted_chars"),
+    examples = prefix_examples(conversations)
+    turns = F.transform(segments_of(F.concat("context", "target")),
+                        lambda s: F.concat(role_of(s), F.lit("\n"), text_of(s), F.lit("\n")))
+    read = examples.select(
+        "conv_id", (F.length("context") + F.length("target")).cast("long").alias("_chars"),
+        F.struct("example", F.when(F.col("target") != "", text_of(F.col("target"))).otherwise("").alias("reply")).alias("_reply"),
+        F.when(F.col("last"), turns).alias("_turns"),
     )
-    return parsed.select(
-        "conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"),
-        F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars",
+    whole = read.groupBy("conv_id").agg(
+        F.sum("_chars").alias("formatted_chars"), F.sort_array(F.collect_list("_reply")).alias("_replies"),
+        F.first("_turns", ignorenulls=True).alias("_turns"))
+    loss = F.array_join(F.col("_replies.reply"), "")
+    return whole.select(
+        "conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(F.array_join("_turns", ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
     )
 
 
