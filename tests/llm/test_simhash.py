@@ -4,6 +4,7 @@ import re
 import pytest
 import xxhash
 
+from veriscope.llm import simhash
 from veriscope.llm.components import components
 from veriscope.llm.simhash import deduplicated, fingerprint_links, near_duplicates, op6_simhash
 
@@ -87,3 +88,28 @@ def test_query_against_plain_comparison(spark, sf_dir):
     got = op6_simhash(spark, sf_dir).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{x:016x}", want[i]) for i, x in texts}
     assert len(got) == len(texts)
+
+
+def test_crowded_variants_are_counted_before_the_shuffle(spark, monkeypatch):
+    """No window holds a variant: rows are counted in parts, and the counts joined to them."""
+    plans, settle = [], simhash.settle
+
+    def settled(df, compact=False):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, compact)
+
+    monkeypatch.setattr(simhash, "settle", settled)
+    near = spark.range(300).selectExpr("id AS fp")
+    links = simhash.fingerprint_links(near, joined_rows=16).collect()
+    assert plans and not any("Window" in plan for plan in plans)
+    assert any("partial_count" in plan for plan in plans)
+    # the numbers below 300 hang together by single bits
+    reached, todo, of = {0}, [0], {}
+    for u, v in links:
+        of.setdefault(u, []).append(v)
+        of.setdefault(v, []).append(u)
+    while todo:
+        new = {v for v in of.get(todo.pop(), []) if v not in reached}
+        reached |= new
+        todo += new
+    assert reached == set(range(300)) and all((u ^ v).bit_count() <= 2 for u, v in links)

@@ -22,12 +22,12 @@ import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriscope.llm.components import components
 from veriscope.llm.texts import has_columns, let, run_of, words
-from veriscope.shared import settle
+from veriscope.shared import broadcast_if_small, settle
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
@@ -134,10 +134,15 @@ def starred_links(crowded: DataFrame) -> DataFrame:
     return keyed.join(smallest, keys).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
+def variant_counts(fingerprints: DataFrame) -> DataFrame:
+    """``slot``, ``rest`` and the number ``n`` of fingerprints of every shared variant, counted before the shuffle."""
+    return variants(fingerprints).groupBy("slot", "rest").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def fingerprint_links(fingerprints: DataFrame, joined_rows: int = JOINED_ROWS) -> DataFrame:
     """Links (u, v) that connect all different fingerprints within the distance."""
-    sharing = Window.partitionBy("slot", "rest")
-    shared = settle(variants(fingerprints).withColumn("n", F.count("*").over(sharing)).where("n > 1"), compact=True)
+    counts = broadcast_if_small(settle(variant_counts(fingerprints), compact=True))
+    shared = settle(variants(fingerprints).join(counts, ["slot", "rest"]), compact=True)
     joined = joined_links(shared.where(F.col("n") <= joined_rows))
     return joined.unionByName(starred_links(shared.where(F.col("n") > joined_rows)))
 
