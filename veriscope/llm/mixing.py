@@ -215,9 +215,11 @@ def mixed_documents(df: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WOR
     A document taken whole keeps its text as it is; of another, the words are found once for
     all its runs.  ``n_chars``, if there, is set anew.
     """
-    stored = settle(df.withColumn("_row", F.monotonically_increasing_id()))
-    runs = Mix(sized(stored), weights, block_words, seed).runs()
-    text = F.col("text")
+    has_columns(df, "doc_id", "source", "text")
+    # the columns in one struct: none of them can clash with a name used here
+    stored = settle(df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*df.columns).alias("_given")))
+    runs = Mix(sized(stored.select("_row", "_given.doc_id", "_given.source", "_given.text")), weights, block_words, seed).runs()
+    text = F.col("_given.text")
 
     def part(run: Column, found: Column) -> Column:
         own = F.transform(F.sequence(run["low"], run["high"] - 1), lambda k: F.get(found, k.cast("int")))
@@ -225,11 +227,11 @@ def mixed_documents(df: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WOR
 
     parts = F.when(F.forall("_runs", lambda run: run["whole"]), F.transform("_runs", lambda run: text)).otherwise(
         let(spaced_words(text), lambda found: F.transform("_runs", lambda run: part(run, found))))
-    others = [c for c in df.columns if c != "text"]
-    result = stored.join(runs, "_row").select(*others, F.explode(parts).alias("text"))
-    if "n_chars" in df.columns:
-        result = result.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return result.select(*df.columns)
+    result = stored.join(runs, "_row").select("_given", F.explode(parts).alias("_part"))
+    columns = {c: F.col("_given").getField(c) for c in df.columns} | {"text": F.col("_part")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("_part").cast(df.schema["n_chars"].dataType)
+    return result.select(*[column.alias(name) for name, column in columns.items()])
 
 
 def _scramble_steps(number: str, key: int, name: str) -> list[tuple[str, str]]:

@@ -250,8 +250,10 @@ def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     ``n_chars``, if there, is set anew for texts that changed.
     """
-    found = with_findings(df, text, "_found")
-    at = F.col(text)
+    has_columns(df, text)
+    # the columns in one struct: none of them can clash with a name used here
+    whole = df.select(F.struct(*df.columns).alias("_given"), df[text].alias("_text"))
+    found, at = with_findings(whole, "_text", "_found"), F.col("_text")
     cut = F.aggregate(
         "_found", F.struct(F.lit("").alias("done"), F.lit(0).alias("upto")),
         lambda acc, f: F.when(f["start"] >= acc["upto"], F.struct(
@@ -261,11 +263,13 @@ def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         lambda acc: F.concat(acc["done"], F.substring(at, acc["upto"] + 1, F.length(at))),
     )
     changed = F.size("_found") > 0
-    result = found.withColumn("_new", F.when(changed, cut).otherwise(at))
-    if "n_chars" in df.columns:
-        result = result.withColumn(
-            "n_chars", F.when(changed, F.length("_new").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return result.withColumn(text, F.col("_new")).select(*df.columns)
+    result = found.select("_given", changed.alias("_changed"), F.when(changed, cut).otherwise(at).alias("_new"))
+    columns = {c: F.col("_given").getField(c) for c in df.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(
+            F.col("_changed"), F.length("_new").cast(df.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    columns[text] = F.col("_new")
+    return result.select(*[column.alias(name) for name, column in columns.items()])
 
 
 def op3_secret_scan(spark, sf_dir):

@@ -168,7 +168,7 @@ def deduplicated(df: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """
     kept = near_duplicates(df, size).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
     kept = settle(kept, compact=True)
-    rows = df.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
+    rows = df.join(kept.select("doc_id"), "doc_id", "left_semi").select(*df.columns)
     if kept.where("_n > 1").limit(1).count():
         rows = rows.dropDuplicates(["doc_id"])
     return rows.unionByName(df.where("doc_id IS NULL"))
