@@ -128,3 +128,15 @@ def test_query_against_the_patterns(spark, sf_dir):
         assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex"))
         kept = [s for s in row.spans.split(",") if s and not s.startswith("novel")]
         assert ",".join(kept) == joined
+
+
+def test_long_runs_end():
+    """Every pattern against text made to be tried in many ways."""
+    import time
+
+    awkward = ["z" * 10_000 + "1234", "Zz" * 5_000 + "1234", "zzZ" * 5_000 + "_1", "Z" * 10_000 + "z1", "a1_" * 5_000, "aB/" * 5_000, "=" * 20_000,
+               "zz1=" * 4_000, ("q" * 64 + "\n") * 300, "AKIA" * 3_000, "token=" * 3_000, '"\n' * 8_000 + "zz1"]
+    for run in awkward:
+        started = time.perf_counter()
+        scan(f"auth {run} token {run}", NOVELTY)
+        assert time.perf_counter() - started < 10, run[:10]

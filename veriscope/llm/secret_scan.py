@@ -47,7 +47,8 @@ SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|credential|auth|
 PIECE = re.compile(r"[^=]+(?:=+\Z)?")
 # Parts of names and paths: words in one case or capitalised, with a short number.
 PART = re.compile(r"[^/_-]+")
-NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+[0-9]{0,3}")
+# No run of letters is tried in two ways, so that a match takes time linear in the text.
+NAME = re.compile(r"(?=[A-Za-z])(?:[A-Z]*[a-z]{2,}+)*+(?:[A-Z]{2,}+)?[0-9]{0,3}")
 # What stands between two lines, or two dotted parts, of an encoded text; its last, short line.
 JOINT = re.compile(r"""\.|[\s"',;#>|*+]*[\n\\][\s"',;#>|*+\\]*""")
 LAST_LINE = re.compile(
