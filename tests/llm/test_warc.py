@@ -66,3 +66,25 @@ def test_empty_table(spark, tmp_path):
 
 def test_query_equals_sql(spark, sf_dir):
     assert compare("op10", warc.op10_warc(spark, sf_dir), connect(sf_dir), warc.ORACLE).startswith("ok (")
+
+
+def test_archives_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    import glob
+    import os
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 100_000)
+    monkeypatch.setattr(warc, "CLASS_BYTES", 1_000)
+    pages = [(i, f"http://{i}", f"{i} " + "x" * (50 if i < 900 else 60_000 if i < 910 else 150_000)) for i in range(912)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"))
+    sizes = [os.path.getsize(f) for f in glob.glob(str(tmp_path / "a" / "part-*"))]
+    assert max(sizes) < 152_000 and len(sizes) < 30
+    got = warc.assembled(warc.read_records(spark, str(tmp_path / "a"))).collect()
+    assert sorted((r.metadata.page_id, r.capture.payload.decode()) for r in got) == [(i, h) for i, _, h in pages]
+
+
+def test_cut_archives_are_refused():
+    whole = b"WARC/1.1\r\nWARC-Record-ID: a\r\nWARC-Type: request\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    assert len(list(warc.parsed_records(memoryview(whole), True))) == 1
+    for end in (31, len(whole) - 6):
+        with pytest.raises(ValueError):
+            list(warc.parsed_records(memoryview(whole[:end]), True))

@@ -27,6 +27,7 @@ from veriscope.shared import broadcast_if_small, settle, shared_folder
 
 MIN_DEDUP_BYTES = 100
 ARCHIVE_BYTES = 32 * 1024 * 1024
+CLASS_BYTES = 8 * 1024  # the longest payload of the smallest size class
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 NEWLINE = "\r\n"
@@ -66,18 +67,23 @@ def first_captures(pages: DataFrame, min_dedup_bytes: int = MIN_DEDUP_BYTES) ->
     )
 
 
+def size_class(payload_bytes: Column) -> Column:
+    """0 for up to ``CLASS_BYTES``; every further class holds payloads up to four times as long."""
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(payload_bytes, F.lit(1)) / CLASS_BYTES))).cast("int")
+
+
 def write_archives(pages: DataFrame, folder: str, min_dedup_bytes: int = MIN_DEDUP_BYTES) -> None:
     """Write request, response or revisit, and metadata of every page to archives in ``folder``.
 
-    Records end with the separator of the text sink, which is the format's own.  Archives
-    hold about ``ARCHIVE_BYTES``.
+    Records end with the separator of the text sink, which is the format's own.  Pages are
+    written by size class, with as many records to an archive as its largest
+    pages allow: no archive exceeds ``ARCHIVE_BYTES`` by more than a page and its headers.
     """
     has_columns(pages, "page_id", "url", "html")
     payload = F.coalesce(pages["html"], F.lit(""))
     known = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"),
                          F.octet_length(payload).cast("long").alias("payload_bytes"))
     firsts = broadcast_if_small(settle(first_captures(known, min_dedup_bytes)))
-    mean = pages.select(F.avg(F.octet_length(payload))).first()[0] or 0
     revisit = F.col("first_page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page_id"))
     held = known.join(firsts, "digest", "left").withColumn("revisit", revisit)
     ids = {k: record_id(F.col("page_id"), F.col("url"), F.col("digest"), k) for k in ("capture", "request", "metadata")}
@@ -101,11 +107,14 @@ def write_archives(pages: DataFrame, folder: str, min_dedup_bytes: int = MIN_DED
     metadata = record("metadata", {
         "WARC-Record-ID": ids["metadata"], **beside, "Content-Type": F.lit("application/warc-fields"),
     }, F.concat_ws("", F.lit("page_id: "), F.col("page_id").cast("string"), F.lit(NEWLINE)))
-    (
-        held.select(F.explode(F.array(request, capture, metadata)).alias("value"))
-        .write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 3 * max(1, int(ARCHIVE_BYTES / (mean + 1))))
-        .text(folder)
-    )
+    records = F.explode(F.array(request, capture, metadata)).alias("value")
+    classes = pages.select(size_class(F.octet_length(payload)).alias("no")).distinct().collect()  # some ten rows
+    for no in sorted(r["no"] for r in classes) or [0]:
+        captures = max(1, ARCHIVE_BYTES // (CLASS_BYTES << 2 * no))
+        (
+            held.where(size_class(F.col("payload_bytes")) == no).select(records)
+            .write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 3 * captures).mode("append").text(folder)
+        )
 
 
 def parsed_records(content: memoryview, with_payload: bool):
@@ -115,6 +124,8 @@ def parsed_records(content: memoryview, with_payload: bool):
         head = bytes(content[at:at + 4096])
         size = 4096
         while (stop := head.find(b"\r\n\r\n")) < 0:
+            if at + size >= end:
+                raise ValueError(f"the archive ends in the headers of the record at byte {at}")
             size *= 2
             head = bytes(content[at:at + size])
         lines = head[:stop].decode("utf-8").split(NEWLINE)
@@ -123,6 +134,8 @@ def parsed_records(content: memoryview, with_payload: bool):
         fields = dict(line.split(": ", 1) for line in lines[1:])
         start = at + stop + 4
         block = content[start:start + int(fields["Content-Length"])]
+        if len(block) < int(fields["Content-Length"]):
+            raise ValueError(f"the archive ends in the record at byte {at}")
         at = start + len(block) + 4
         kind, payload, page_id = fields["WARC-Type"], None, None
         if kind == "response":
