@@ -5,7 +5,7 @@ upper limit.  All counts come from the text in one pass of native expressions; n
 
 Cases: a null text has no words; a text without words fails on length; repeated lines and
 windows are counted within the text alone; repeated rows are judged alike; columns of the
-input are kept, and those named like a count are replaced by it; an empty table stays empty.
+input are kept, and those named like a count or the verdict are replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``low`` <= 100 * part / whole <= ``high``; a missing limit holds."""
+    """``low`` <= 100 * part / whole <= ``high``; a missing limit holds; the whole ``one`` is 1."""
 
     name: str
     part: str
@@ -39,7 +39,7 @@ class Rule:
     high: int | None = None
 
     def holds(self) -> Column:
-        part, whole = 100 * F.col(self.part), F.col(self.whole)
+        part, whole = 100 * F.col(self.part), F.lit(1) if self.whole == "one" else F.col(self.whole)
         held = F.lit(True)
         if self.low is not None:
             held = held & (part >= self.low * whole)
@@ -106,12 +106,16 @@ def with_counts(df: DataFrame, text: str = "text", stop_words=STOP_WORDS) -> Dat
     has_columns(df, text)
     both_cases = [*stop_words, *(w.capitalize() for w in stop_words)]
     whole = F.coalesce(df[text], F.lit(""))
-    parts = df.drop(*COUNTS, "_words", "_lines").withColumns({
+    given = [c for c in df.columns if c not in COUNTS]
+    # the columns in one struct: none of them can clash with a name used here
+    parts = df.select(F.struct(*[df[c] for c in given]).alias("_given") if given else F.lit(None).alias("_given"), whole.alias("_whole"))
+    whole = F.col("_whole")
+    parts = parts.withColumns({
         "_words": words(whole),
         "_lines": F.filter(F.split(whole, "\n"), lambda line: word_count(line) > 0),
         "n_symbols": F.length(whole) - F.length(F.translate(whole, SYMBOLS, "")),
     })
-    return parts.withColumns({
+    counted = parts.withColumns({
         "n_words": F.size("_words"),
         "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
@@ -120,18 +124,19 @@ def with_counts(df: DataFrame, text: str = "text", stop_words=STOP_WORDS) -> Dat
         # depends on the row's place by name, so that a filter on the verdict is not pushed below
         # and does not compute the counts again
         "n_repeat_words": F.when(F.monotonically_increasing_id() >= 0, repeated_words(F.col("_words"))),
-    }).withColumns({c: F.col(c).cast("long") for c in COUNTS}).drop("_words", "_lines")
+    })
+    return counted.select(*[F.col("_given").getField(c).alias(c) for c in given], *[F.col(c).cast("long").alias(c) for c in COUNTS])
 
 
 def judged(df: DataFrame, text: str = "text", rules=RULES, base_rules=BASE_RULES) -> DataFrame:
     """Add the counts, ``base_failed``, ``failed_rules`` and ``kept``."""
-    counted = with_counts(df, text).withColumn("one", F.lit(1))
+    counted = with_counts(df.drop("base_failed", "failed_rules", "kept"), text)
     base = F.lit(False)
     for rule in base_rules:
         base = base | ~rule.holds()
     failed = F.filter(F.array(*[F.when(~r.holds(), F.lit(r.name)) for r in (*base_rules, *rules)]), F.isnotnull)
     return counted.withColumn("base_failed", base).withColumn("failed_rules", failed).withColumn(
-        "kept", F.size("failed_rules") == 0).drop("one")
+        "kept", F.size("failed_rules") == 0)
 
 
 def passed(df: DataFrame, text: str = "text", rules=RULES, base_rules=BASE_RULES) -> DataFrame:

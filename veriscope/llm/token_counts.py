@@ -8,7 +8,7 @@ are emitted.
 Cases: a null or empty text has no tokens; a text of one very long piece takes time in
 proportion to n log n; texts that repeat are counted alike; special strings inside a text
 count as one token each, as the vocabulary's library has it by default; further columns stay
-as they are; an empty table stays empty.
+as they are, those named like a count are replaced by it; an empty table stays empty.
 """
 
 from __future__ import annotations
