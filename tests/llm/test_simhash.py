@@ -113,3 +113,22 @@ def test_crowded_variants_are_counted_before_the_shuffle(spark, monkeypatch):
         reached |= new
         todo += new
     assert reached == set(range(300)) and all((u ^ v).bit_count() <= 2 for u, v in links)
+
+
+def test_rows_of_one_doc_id_and_different_texts_are_kept(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "one two three four five"), (2, "alpha beta gamma delta"), (1, "one two three four five")]
+    for parts in (1, 3):
+        got = deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        assert sorted(map(tuple, got.collect())) == sorted(rows[:2])
+
+
+def test_deduplicated_moves_no_texts(spark, sf_dir, monkeypatch):
+    from veriscope import shared
+
+    monkeypatch.setattr(shared, "MAX_BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "text" in plan and not any("Exchange" in line and "text" in line for line in plan.splitlines())

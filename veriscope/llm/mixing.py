@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriscope.llm.ranks import running_totals
+from veriscope.llm.ranks import HASH_RANGE, running_totals
+from veriscope.llm.row_keys import keyed
 from veriscope.llm.texts import BLANKS, WORD, has_columns, let, word_count
 from veriscope.shared import broadcast_if_small, settle
 
@@ -31,6 +32,7 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_BITS = 14  # slots of a shard, as a power of two
+TASK_BITS = 17  # slots that a task numbers, as a power of two
 SEED = 42
 ROUNDS = 12
 GRID = 4096
@@ -106,8 +108,12 @@ def drawn_slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
         drawn.withColumn("cell", F.floor(F.col("u") * GRID))
         .join(broadcast_if_small(settle(cells)), "cell").where("u >= low AND u < high")
         .groupBy("source_no", "shard").agg(F.count("*").alias("n")))
-    by_shard = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.withColumn("first", F.coalesce(F.sum("n").over(by_shard), F.lit(0))).withColumn(
+    shards = (slots >> SHARD_BITS) + 1
+    place = F.col("shard") * (HASH_RANGE // shards)
+    first = running_totals(counts, "source_no", place, F.col("n"), ["shard"], counts.count(), "first")
+    # a row per source and shard is dealt to the tasks before it becomes one per slot
+    tasks = max(min(shards, spark.sparkContext.defaultParallelism), slots >> TASK_BITS)
+    numbered = first.repartition(tasks, "source_no", "shard").withColumn(
         "r", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     drawn_total = counts.groupBy("source_no").agg(F.sum("n").alias("drawn"))
     gaps = settle(
@@ -216,8 +222,7 @@ def mixed_documents(df: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WOR
     all its runs.  ``n_chars``, if there, is set anew.
     """
     has_columns(df, "doc_id", "source", "text")
-    # the columns in one struct: none of them can clash with a name used here
-    stored = settle(df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*df.columns).alias("_given")))
+    stored = keyed(df)
     runs = Mix(sized(stored.select("_row", "_given.doc_id", "_given.source", "_given.text")), weights, block_words, seed).runs()
     text = F.col("_given.text")
 

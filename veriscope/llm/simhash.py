@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriscope.llm.components import components
+from veriscope.llm.row_keys import keyed, marked
 from veriscope.llm.texts import has_columns, let, run_of, words
 from veriscope.shared import broadcast_if_small, settle
 
@@ -58,16 +59,18 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and ``fp`` of every row; the shingles are hashed by Spark, their bits counted in numpy."""
-    hashed = df.select("doc_id", shingle_hashes(F.col("text"), size).alias("hashes"))
+def fingerprints(df: DataFrame, size: int = SHINGLE_WORDS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys`` and ``fp`` of every row; the shingles are hashed by Spark, their bits counted in numpy."""
+    hashed = df.select(*keys, shingle_hashes(F.col("text"), size).alias("hashes"))
 
     def counted(batches):
         for batch in batches:
-            found = [majority_bits(hashes.values.to_numpy()) for hashes in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = [majority_bits(hashes.values.to_numpy()) for hashes in batch.column(len(keys))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(keys)], pa.array(found, pa.int64())], names=[*keys, "fp"])
 
-    return hashed.mapInArrow(counted, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long")
+    kept = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return hashed.mapInArrow(counted, f"{kept}, fp long")
 
 
 def fingerprint_hex(value: Column) -> Column:
@@ -147,31 +150,40 @@ def fingerprint_links(fingerprints: DataFrame, joined_rows: int = JOINED_ROWS) -
     return joined.unionByName(starred_links(shared.where(F.col("n") > joined_rows)))
 
 
-def near_duplicates(df: DataFrame, size: int = SHINGLE_WORDS, joined_rows: int = JOINED_ROWS) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (the smallest doc_id reachable) of every row."""
-    has_columns(df, "doc_id", "text")
-    rows = settle(fingerprints(df, size), compact=True)
+def grouped(rows: DataFrame, joined_rows: int = JOINED_ROWS) -> DataFrame:
+    """``fp``, ``root`` (the smallest fingerprint reachable) and ``component_id`` of all
+    fingerprints of settled rows (doc_id, fp)."""
     distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = components(fingerprint_links(distinct.select("fp"), joined_rows))
     # only fingerprints with links have a component of their own
     linked = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "component", "first_id")
     smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = linked.join(smallest, "component").select("fp", "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(settle(named), "fp").select("doc_id", "fp", "component_id")
+    linked = linked.join(smallest, "component").select("fp", F.col("component").alias("root"), "component_id")
+    return settle(distinct.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")))
+
+
+def near_duplicates(df: DataFrame, size: int = SHINGLE_WORDS, joined_rows: int = JOINED_ROWS) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` (the smallest doc_id reachable) of every row."""
+    has_columns(df, "doc_id", "text")
+    rows = settle(fingerprints(df, size), compact=True)
+    return rows.join(grouped(rows, joined_rows).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(df: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """One row of every component: the one with the smallest doc_id.
+    """One row of every component: the one with the smallest doc_id; of several with that doc_id,
+    the one whose text has the smallest hash.  Rows without doc_id stay.
 
-    Rows without doc_id stay.  Texts are shuffled only if a doc_id occurs more than once.
+    Rows are chosen by their place in the table, so that texts stay where they are.
     """
-    kept = near_duplicates(df, size).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = settle(kept, compact=True)
-    rows = df.join(kept.select("doc_id"), "doc_id", "left_semi").select(*df.columns)
-    if kept.where("_n > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(df.where("doc_id IS NULL"))
+    has_columns(df, "doc_id", "text")
+    rows = keyed(df)
+    texts = rows.select("_row", "_given.doc_id", "_given.text", F.xxhash64("_given.text").alias("digest"))
+    prints = settle(fingerprints(texts, size, ("_row", "doc_id", "digest")), compact=True)
+    order = F.struct("doc_id", "digest", "_row")
+    first = prints.where("doc_id IS NOT NULL").join(grouped(prints).select("fp", "root"), "fp").groupBy("root").agg(
+        F.min(order).alias("first"))
+    return marked(rows, first.select("first._row"), "_first").where("_first OR _given.doc_id IS NULL").select("_given.*")
 
 
 def op6_simhash(spark, sf_dir):
