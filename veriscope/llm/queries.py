@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from veriscope.llm import chat, embedding_dedup, mixing, packing, quality, secret_scan, simhash, token_counts, toxicity, warc
+from veriscope.llm import (
+    chat, collocations, embedding_dedup, fill_in_middle, mixing, packing, quality, secret_scan, simhash, suffix_dedup,
+    token_counts, toxicity, warc,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +18,16 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
     "op2_quality_rules": quality.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_suffix_dedup": suffix_dedup.ORACLE,
 }
