@@ -2,10 +2,12 @@
 
 A passage of ``passage`` bytes (a window) belongs to the bucket of the least hash among its
 short grams: equal windows are in the same bucket, wherever they stand.  Neighbouring windows
-of one bucket form a fragment; buckets are dealt to groups of bounded size.  A task sends a
-fragment that it meets again once only, with the smallest doc_id; the others are known to be
-repeats at once.  A bucket of very many fragments sends each window on its own, to the group
-of the window's content.
+of one bucket form a fragment.  Buckets are counted first; only those that two documents have
+are looked at, as a table of bits of bounded size says (it may let others pass, which costs a
+shuffled fragment and changes nothing).  Buckets are dealt to groups of bounded size.  A task
+sends a fragment that it meets again once only, with the smallest doc_id; the others are known
+to be repeats at once.  A bucket of very many fragments sends each window on its own, to the
+group of the window's content.
 
 In a group, suffixes begin at every window.  Those whose window occurs in one document only
 are left out by their hash; the others are ordered byte by byte, with the lengths of common
@@ -38,15 +40,16 @@ from veriscope.llm.texts import has_columns
 from veriscope.shared import settle
 
 PASSAGE = 50
-GRAM = 12  # bytes of a gram
+GRAM = 16  # bytes of a gram
 SLICE_BYTES = 4 << 20  # looked at in one go
 HELD_BYTES = 24 << 20  # fragments that a task compares with each other
 GROUP_BYTES = 6 << 20  # fragments that a group is made for
-OVERLAP = 3.7  # bytes of fragments per byte of text
-GROUP_BUCKETS = 64
+FRAGMENT_BYTES = 70  # of a fragment, on average
 CROWDED = 6_000  # a bucket of more fragments is sent by windows
-MOST_CROWDED = 1 << 20  # bucket numbers that the driver may hold
-COUNTED = 1 << 20  # buckets that a task counts before it passes them on
+MOST_CROWDED = 1 << 20  # buckets that the driver may hold by number
+COUNTED = 2 << 20  # buckets that a task counts before it passes them on
+PART_BYTES = 64 << 20  # bytes of text for every part that merges counts
+MOST_TABLE_BITS = 28  # of the table of shared buckets, as a power of two
 LONGEST_RUN = 1024  # windows of a fragment
 UNNAMED = np.iinfo(np.int64).max  # stands for a null doc_id
 RESULTS = ("n_bytes", "spans", "kept")
@@ -79,7 +82,13 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
 def gram_values(data: np.ndarray, gram: int) -> np.ndarray:
     mixed = window_hashes(data, gram)
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(FACTOR)
-    return (mixed >> np.uint64(32)).astype(np.uint32)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def spread(values: np.ndarray) -> np.ndarray:
+    """Least values are small ones: the same values, another number each."""
+    mixed = (values ^ (values >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(30))
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -92,10 +101,10 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def cut_fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end: first window, end of the windows and bucket value of each fragment."""
+    """Of texts laid end to end: first window, end of the windows and bucket of each fragment."""
     gram = min(GRAM, passage)
     if len(data) < passage:
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint32),)
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),)
     least = sliding_minimum(gram_values(data, gram), passage - gram + 1)
     long = ends - starts >= passage
     first, beyond = starts[long], ends[long] - passage + 1
@@ -115,7 +124,7 @@ def cut_fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, passag
         no = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         at = np.repeat(at, parts) + no * LONGEST_RUN
         until, value = np.minimum(at + LONGEST_RUN, np.repeat(until, parts)), np.repeat(value, parts)
-    return at, until, value
+    return at, until, spread(value)
 
 
 def slices(batches: Iterator[pa.RecordBatch], passage: int) -> Iterator[tuple[bytes, np.ndarray, list]]:
@@ -143,21 +152,18 @@ def slices(batches: Iterator[pa.RecordBatch], passage: int) -> Iterator[tuple[by
 
 
 class Buckets:
-    """How buckets are dealt to groups, and which of them are sent by windows."""
+    """Which buckets two documents may have, how they are dealt to groups, and which are sent by windows."""
 
-    def __init__(self, groups: int, crowded: list[int] = ()):
-        self.groups, self.count = groups, groups * GROUP_BUCKETS
-        self.crowded = np.array(sorted(crowded), dtype=np.int64)
+    def __init__(self, table: np.ndarray, table_bits: int, groups: int, crowded: np.ndarray):
+        self.table, self.shift = table, np.uint64(64 - table_bits)
+        self.groups, self.crowded = groups, np.sort(crowded)
 
-    def of(self, value: np.ndarray) -> np.ndarray:
-        # least values are small ones: spread them again
-        spread = value * np.uint32(0x9E3779B1)
-        spread = (spread ^ (spread >> np.uint32(15))) * np.uint32(0x85EBCA77)
-        return (spread.astype(np.uint64) * np.uint64(self.count) >> np.uint64(32)).astype(np.int64)
+    def shared(self, bucket: np.ndarray) -> np.ndarray:
+        slot = bucket >> self.shift
+        return (self.table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
-    def group_of_window(self, hashed: np.ndarray) -> np.ndarray:
-        mixed = (hashed ^ (hashed >> np.uint64(29))) * np.uint64(FACTOR)
-        return ((mixed >> np.uint64(32)) * np.uint64(self.groups) >> np.uint64(32)).astype(np.int64)
+    def group(self, number: np.ndarray) -> np.ndarray:
+        return ((number * np.uint64(FACTOR) >> np.uint64(32)) * np.uint64(self.groups) >> np.uint64(32)).astype(np.int64)
 
     def is_crowded(self, bucket: np.ndarray) -> np.ndarray:
         if not len(self.crowded):
@@ -240,48 +246,105 @@ def _flushed(held: Held) -> Iterator[tuple[int, bytes, bytes | None]]:
         removed = None
 
 
-def bucket_sizes(texts: DataFrame, buckets: Buckets, passage: int) -> DataFrame:
-    """``bucket`` and the number ``n`` of its fragments, counted per task before the shuffle."""
-    def batch_of(keys, counts):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["bucket", "n"])
+BUCKET_KINDS = ["<u8", "<i8", "<u1"]  # distance from the bucket before, fragments, documents (2: or more)
+
+
+def _merged_buckets(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bucket, n, docs = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=np.int64)
+    if not len(heads):
+        return bucket, n, docs
+    return bucket[heads], np.add.reduceat(n[order], heads), np.minimum(np.add.reduceat(docs[order].astype(np.int64), heads), 2).astype(np.uint8)
 
-    def counted(batches):
-        keys = counts = np.zeros(0, dtype=np.int64)
-        for data, places, _ in slices(batches, passage):
-            _, _, value = cut_fragments(np.frombuffer(data, np.uint8), places[:-1], places[1:], passage)
-            more, n = np.unique(buckets.of(value), return_counts=True)
-            keys, which = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            counts = np.bincount(which, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) > COUNTED:
-                yield batch_of(keys, counts)
-                keys = counts = np.zeros(0, dtype=np.int64)
-        yield batch_of(keys, counts)
 
-    return texts.mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+def shared_buckets(texts: DataFrame, parts: int, passage: int) -> DataFrame:
+    """``bucket`` (as a signed number) and its number ``n`` of fragments, of all buckets that two documents have.
+
+    Tasks send their buckets in order, as distances; each part merges its own.
+    """
+    def counted_slice(data, places, names):
+        at, _, bucket = cut_fragments(np.frombuffer(data, np.uint8), places[:-1], places[1:], passage)
+        if not len(at):
+            return bucket, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+        doc = np.array([name[1] for name in names], dtype=np.int64)[np.searchsorted(places, at, side="right") - 1]
+        order = np.argsort(bucket, kind="stable")
+        bucket, doc = bucket[order], doc[order]
+        heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        several = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
+        return bucket[heads], np.diff(np.r_[heads, len(bucket)]), 1 + several.astype(np.uint8)
+
+    def part_of(bucket):
+        return ((bucket >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+    def batch_of(bucket, n, docs):
+        part = part_of(bucket)
+        heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, dtype=np.int64)
+        blobs = []
+        for a, b in zip(heads, np.r_[heads[1:], len(part)]):
+            steps = np.diff(bucket[a:b], prepend=np.uint64(0))
+            # byte by byte in columns: the high bytes of small distances are all zero
+            blobs.append(_packed([steps.view(np.uint8).reshape(-1, 8).T.ravel().view("<u8"), n[a:b], docs[a:b]], b""))
+        return pa.RecordBatch.from_arrays([pa.array(part[heads], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "buckets"])
+
+    def counted(batches):
+        held = []
+        for found in slices(batches, passage):
+            held.append(counted_slice(*found))
+            if sum(len(h[0]) for h in held) > COUNTED:
+                yield batch_of(*_merged_buckets(held))
+                held = []
+        if held:
+            yield batch_of(*_merged_buckets(held))
+
+    def merged(group: pa.Table) -> pa.Table:
+        found = []
+        for blob in group.column("buckets"):
+            (steps, n, docs), _ = _unpacked(blob.as_py(), BUCKET_KINDS)
+            steps = np.ascontiguousarray(steps.view(np.uint8).reshape(8, -1).T).view("<u8").ravel()
+            found.append((np.cumsum(steps, dtype=np.uint64), n, docs))
+        bucket, n, docs = _merged_buckets(found)
+        shared = docs > 1
+        return pa.table({"bucket": pa.array(bucket[shared].view(np.int64)), "n": pa.array(n[shared])})
+
+    return texts.mapInArrow(counted, "part long, buckets binary").groupBy("part").applyInArrow(merged, "bucket long, n long")
+
+
+def bit_table(shared: DataFrame, bits: int) -> np.ndarray:
+    """Of settled buckets, by their first ``bits`` bits; at most a number for every 64 bits comes to the driver."""
+    slot = F.shiftrightunsigned("bucket", 64 - bits)
+    found = shared.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table
 
 
 def sent_fragments(texts: DataFrame, buckets: Buckets, passage: int) -> DataFrame:
     """``part`` (the group), ``fragments`` and ``removed`` (blobs) of all texts."""
+    known = texts.sparkSession.sparkContext.broadcast(buckets)
+
     def batch_of(rows):
         part, fragments, removed = zip(*rows)
         return pa.RecordBatch.from_arrays(
             [pa.array(part, pa.int64()), pa.array(fragments, pa.binary()), pa.array(removed, pa.binary())], names=["part", "fragments", "removed"])
 
     def sent(batches):
-        held = Held()
+        held, buckets = Held(), known.value
         for data, places, names in slices(batches, passage):
             array = np.frombuffer(data, np.uint8)
-            at, until, value = cut_fragments(array, places[:-1], places[1:], passage)
-            bucket = buckets.of(value)
-            apart = buckets.is_crowded(bucket)
-            group = bucket // GROUP_BUCKETS
+            at, until, bucket = cut_fragments(array, places[:-1], places[1:], passage)
+            some = buckets.shared(bucket)
+            at, until, bucket = at[some], until[some], bucket[some]
+            apart, group = buckets.is_crowded(bucket), buckets.group(bucket)
             if apart.any():
                 length = np.where(apart, until - at, 1)
                 no = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
                 alone = np.repeat(apart, length)
                 at = np.repeat(at, length) + no
                 until = np.where(alone, at + 1, np.repeat(until, length))
-                group = np.where(alone, buckets.group_of_window(window_hashes(array, passage)[at]), np.repeat(group, length))
+                group = np.where(alone, buckets.group(spread(window_hashes(array, passage)[at])), np.repeat(group, length))
             piece = np.searchsorted(places, at, side="right") - 1
             offset = (at - places[piece]).tolist()
             for a, b, g, p, o in zip(at.tolist(), (until + passage - 1).tolist(), group.tolist(), piece.tolist(), offset):
@@ -377,12 +440,14 @@ def repeats(texts: DataFrame, total_bytes: int, passage: int = PASSAGE, group_by
             crowded: int = CROWDED) -> DataFrame:
     """``_row``, ``begin`` and ``end`` of passages of texts (_row, doc_id, text) that a smaller
     doc_id has too; a passage may be reported in parts."""
-    groups = int(total_bytes * OVERLAP) // group_bytes + 1
-    sizes = settle(bucket_sizes(texts, Buckets(groups), passage).where(F.col("n") > crowded), compact=True)
-    while sizes.where(F.col("n") > crowded).count() > MOST_CROWDED:
+    shared = settle(shared_buckets(texts, total_bytes // PART_BYTES + 1, passage), compact=True)
+    n, fragments = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = min(MOST_TABLE_BITS, max(10, (16 * n).bit_length()))
+    while shared.where(F.col("n") > crowded).count() > MOST_CROWDED:
         crowded *= 2
-    many = sizes.where(F.col("n") > crowded).select("bucket").toArrow().column(0).to_pylist()
-    sent = sent_fragments(texts, Buckets(groups, many), passage)
+    many = shared.where(F.col("n") > crowded).select("bucket").toArrow().column(0).to_numpy().view(np.uint64)
+    buckets = Buckets(bit_table(shared, bits), bits, fragments * FRAGMENT_BYTES // group_bytes + 1, many)
+    sent = sent_fragments(texts, buckets, passage)
 
     def found(table: pa.Table) -> pa.Table:
         spans = [np.array(list(_group_repeats(table, passage)), dtype=np.int64).reshape(-1, 3)]
