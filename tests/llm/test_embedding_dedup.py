@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-from veriscope.llm.embedding_dedup import chosen_pivots, near_duplicates, nearest_pivots, op5_embedding_dedup, star_labels
+from veriscope.llm.embedding_dedup import (
+    chosen_index, chosen_pivots, near_duplicates, nearest_pivots, op5_embedding_dedup, share_of_pairs, star_labels,
+)
 
 
 def plain(rows, limit=0.93):
@@ -104,3 +106,46 @@ def test_query_against_plain_comparison(spark, sf_dir):
     assert [g[0] for g in got] == [w[0] for w in want]
     assert all(g[1] <= w[1] for g, w in zip(got, want))
     assert sum(g[1] for g in got) >= 0.9 * sum(w[1] for w in want)
+
+
+def cone(n, size, mean, draw):
+    """Unit vectors whose mean cosine is ``mean``."""
+    axis = np.eye(size)[0]
+    rest = draw.normal(size=(n, size))
+    rest -= (rest @ axis)[:, None] * axis
+    return np.sqrt(mean) * axis + np.sqrt(1 - mean) * rest / np.linalg.norm(rest, axis=1)[:, None]
+
+
+def turned(points, towards, cosine):
+    across = towards - (towards * points).sum(1)[:, None] * points
+    return cosine * points + np.sqrt(1 - cosine ** 2) * across / np.linalg.norm(across, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("size", [64, 256])
+@pytest.mark.parametrize("mean", [0.0, 0.6, 0.8, 0.86, 0.9])
+def test_recall_in_cones(size, mean):
+    """Pairs just above the limit that the index was not fitted on, turned anywhere and into the cone."""
+    draw = np.random.default_rng(9)
+    points = cone(3_000, size, mean, draw)
+    index = chosen_index(points[:2_000].astype(np.float32))
+    own = points[2_000:]
+    for towards in (draw.normal(size=own.shape), points[draw.integers(0, 2_000, len(own))]):
+        assert share_of_pairs(index, own, turned(own, towards, 0.931)) > 0.9
+    if mean == 0:
+        assert share_of_pairs(index, own[:500], own[500:]) < 0.1
+
+
+def test_near_pairs_planted_in_the_given_vectors(spark, sf_dir):
+    """Each tenth vector once more, turned to just above the limit: at least nine in ten pairs are found."""
+    given = [(r.vec_id, np.array(r.embedding, dtype=float), r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+             if r.embedding is not None and r.label is not None and np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    draw = np.random.default_rng(3)
+    rows, planted = [(i, [float(np.float32(x)) for x in v], label) for i, v, label in given], 0
+    for i, v, label in given[::10]:
+        u = v / np.linalg.norm(v)
+        near = turned(u[None, :], draw.normal(size=(1, len(u))), 0.935)[0]
+        rows.append((10**6 + i, [float(np.float32(x)) for x in near], label))
+        planted += 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    linked = {r.vec_id for r in near_duplicates(df).where("n_links > 0").collect()}
+    assert planted > 10 and sum(10**6 + i in linked for i, _, _ in given[::10]) >= 0.9 * planted

@@ -7,9 +7,11 @@ compared in the first list that it shares only.  A long list is dealt into tiles
 compared two by two, so that no task holds a list; a task reports how much each vector
 links with and a star per group of linked vectors, never the pairs.
 
-The description is approximate: with the given parameters 99 % of the pairs at the limit
-share a list (see the test against plain comparison); what is reported is verified in double
-precision.
+The description is approximate.  How many pivots there are, how many a vector is described by
+and must share, and whether the sample's mean is taken off first, is chosen by what the sample
+shows: pairs at the limit are made from its vectors, and of the settings in which enough of
+them share a list, the one is taken in which the fewest other pairs do.  What is reported is
+verified in double precision.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, or have no
 label, link with nothing; vectors of different length never link; equal vectors are one
@@ -20,6 +22,7 @@ ignored; an empty table stays empty.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +37,9 @@ from veriscope.shared import broadcast_if_small, settle
 LIMIT = 0.93
 PIVOTS, SAMPLE_ROWS = 128, 4096
 NEAREST, SHARED = 6, 2
+RECALL, PLANTED_PAIRS = 0.95, 1000  # share of pairs at the limit that must share a list; how many are made
+# Pivots, nearest ones and shared ones to choose from.
+SETTINGS = ((128, 6, 2), (128, 8, 2), (128, 12, 2), (64, 8, 2), (64, 12, 2), (32, 8, 2), (32, 12, 2), (16, 8, 2), (16, 6, 1), (8, 4, 1), (4, 3, 1), (1, 1, 1))
 TILE_ROWS = 1024
 PAIR_ROWS = 1 << 18  # pairs looked at together
 
@@ -63,9 +69,66 @@ def chosen_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return points[chosen]
 
 
-def fitted_pivots(classes: DataFrame, n: int = PIVOTS, sample_rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
-    """Pivots by vector length; at most ``sample_rows`` vectors of each of the 16 most
-    frequent lengths reach the driver.  Other lengths use a single pivot each."""
+@dataclass(frozen=True)
+class Index:
+    """How vectors of one length are described."""
+
+    pivots: np.ndarray
+    nearest: int = NEAREST
+    shared: int = SHARED
+    centre: np.ndarray | None = None
+    recall: float | None = None  # of made pairs, where it was measured
+
+    def points(self, rows: np.ndarray) -> np.ndarray:
+        return rows if self.centre is None else rows - self.centre
+
+    def near(self, rows: np.ndarray) -> np.ndarray:
+        return nearest_pivots(self.points(rows), self.pivots, self.nearest)
+
+
+def pairs_at_the_limit(points: np.ndarray, limit: float, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors and others at the limit from them: turned anywhere, and turned towards other vectors."""
+    draw = np.random.default_rng(seed)
+    own = points[draw.choice(len(points), min(PLANTED_PAIRS, len(points)), replace=False)]
+    found = []
+    for towards in (draw.normal(size=own.shape), points[draw.integers(0, len(points), len(own))] + 1e-6 * draw.normal(size=own.shape)):
+        across = towards - (towards * own).sum(axis=1, keepdims=True) * own
+        across /= np.maximum(np.linalg.norm(across, axis=1, keepdims=True), 1e-300)
+        found.append((own, limit * own + np.sqrt(max(0.0, 1 - limit * limit)) * across))
+    return found
+
+
+def share_of_pairs(index: Index, a: np.ndarray, b: np.ndarray) -> float:
+    """How many pairs share a list."""
+    common = (index.near(a)[:, :, None] == index.near(b)[:, None, :]).any(axis=2).sum(axis=1)
+    return float((common >= min(index.shared, len(index.pivots))).mean())
+
+
+def chosen_index(sample: np.ndarray, limit: float = LIMIT, recall: float = RECALL) -> Index:
+    """The setting with the fewest other pairs in its lists of those that reach ``recall``; else the one that finds most."""
+    points = unit(sample)
+    mean = points.mean(axis=0)
+    made = pairs_at_the_limit(points, limit)
+    draw = np.random.default_rng(1)
+    others = points[draw.integers(0, len(points), 2 * PLANTED_PAIRS)].reshape(2, PLANTED_PAIRS, -1)
+    tried = []
+    for centre in (None, mean):
+        placed = points if centre is None else points - centre
+        far = chosen_pivots(np.where(np.abs(placed).max(axis=1, keepdims=True) > 0, placed, 1.0), max(s[0] for s in SETTINGS))
+        for pivots, nearest, shared in SETTINGS:
+            index = Index(far[:pivots], nearest, shared, centre)
+            found = min(share_of_pairs(index, a, b) for a, b in made)
+            tried.append((Index(far[:pivots], nearest, shared, centre, found), found, share_of_pairs(index, *others)))
+    enough = [t for t in tried if t[1] >= recall]
+    return min(enough, key=lambda t: t[2])[0] if enough else max(tried, key=lambda t: t[1])[0]
+
+
+def fitted_indexes(classes: DataFrame, limit: float = LIMIT, sample_rows: int = SAMPLE_ROWS, fixed: tuple[int, int, int] | None = None) -> dict[int, Index]:
+    """An index by vector length; at most ``sample_rows`` vectors of each of the 16 most
+    frequent lengths reach the driver.  Other lengths use a single pivot each.
+
+    ``fixed`` (pivots, nearest, shared) leaves nothing to choose.
+    """
     by_length = classes.withColumn("_length", F.size("embedding"))
     frequent = by_length.groupBy("_length").count().orderBy(F.desc("count"), "_length").limit(16).collect()
     found = {}
@@ -74,7 +137,8 @@ def fitted_pivots(classes: DataFrame, n: int = PIVOTS, sample_rows: int = SAMPLE
             by_length.where(F.col("_length") == row["_length"])
             .orderBy(F.xxhash64("label", "embedding"), "class").limit(sample_rows).select("embedding").toArrow()
         )
-        found[row["_length"]] = chosen_pivots(_matrix(sample.column(0).combine_chunks(), row["_length"]), n)
+        vectors = _matrix(sample.column(0).combine_chunks(), row["_length"])
+        found[row["_length"]] = Index(chosen_pivots(vectors, fixed[0]), *fixed[1:]) if fixed else chosen_index(vectors, limit)
     return found
 
 
@@ -96,8 +160,8 @@ def nearest_pivots(points: np.ndarray, pivots: np.ndarray, nearest: int = NEARES
 POSTING = "label {label}, length int, list long, class long, copies long, near array<int>, embedding array<{element}>"
 
 
-def postings(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
-    """A row for every combination of ``shared`` of a vector's nearest pivots."""
+def postings(classes: DataFrame, indexes: dict[int, Index]) -> DataFrame:
+    """A row for every combination of as many of a vector's nearest pivots as must be shared."""
     described = classes.select("label", F.size("embedding").alias("length"), "class", "copies", "embedding")
 
     def describe(batches):
@@ -105,9 +169,10 @@ def postings(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int = N
             lengths = batch.column(1).to_numpy()
             for length in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == length))
-                own = pivots.get(int(length))
+                own = indexes.get(int(length))
                 points = unit(_matrix(part.column(4), int(length)))
-                near = nearest_pivots(points, own, nearest) if own is not None else np.zeros((len(points), 1), dtype=np.int64)
+                near = own.near(points) if own is not None else np.zeros((len(points), 1), dtype=np.int64)
+                shared = own.shared if own is not None else 1
                 near_list = pa.FixedSizeListArray.from_arrays(pa.array(near.astype(np.int32).ravel()), near.shape[1]).cast(
                     pa.list_(pa.int32()))
                 ordered = np.sort(near, axis=1)
@@ -185,7 +250,7 @@ def star_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return labels
 
 
-def class_links(dealt: DataFrame, limit: float = LIMIT, shared: int = SHARED) -> DataFrame:
+def class_links(dealt: DataFrame, indexes: dict[int, Index], limit: float = LIMIT) -> DataFrame:
     """Per class ``u``: ``n``, the vectors it links with as far as a tile pair shows, and a
     class ``v`` that it reaches there."""
     keys = ("length", "list", "a", "b")
@@ -198,6 +263,7 @@ def class_links(dealt: DataFrame, limit: float = LIMIT, shared: int = SHARED) ->
             length, key, a, b = (group.column(c)[0].as_py() for c in range(1, 5))
             copies, names = group.column(7).to_numpy(), group.column(6).to_numpy()
             near = _matrix(group.column(8), len(group.column(8)[0]))
+            shared = indexes[length].shared if length in indexes else 1
             cross = None if a == b else group.column(5).to_numpy() == a
             pairs = [*linked_pairs(unit(_matrix(group.column(9), length)), near, key, cross, shared, limit)]
             i, j = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
@@ -212,14 +278,18 @@ def class_links(dealt: DataFrame, limit: float = LIMIT, shared: int = SHARED) ->
     return ordered.mapInArrow(link, "u long, v long, n long")
 
 
-def near_duplicates(df: DataFrame, limit: float = LIMIT, n_pivots: int = PIVOTS, nearest: int = NEAREST,
+def near_duplicates(df: DataFrame, limit: float = LIMIT, n_pivots: int | None = None, nearest: int = NEAREST,
                     shared: int = SHARED, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """``vec_id``, ``n_links`` (other vectors linked directly), ``component_id``, ``kept`` of every row."""
+    """``vec_id``, ``n_links`` (other vectors linked directly), ``component_id``, ``kept`` of every row.
+
+    With ``n_pivots``, the index is not chosen by the sample.
+    """
     has_columns(df, "vec_id", "embedding", "label")
     vectors = df.select("vec_id", "embedding", "label")
     classes = settle(vector_classes(vectors).withColumn("class", F.monotonically_increasing_id()))
-    dealt = tiled(postings(classes, fitted_pivots(classes, n_pivots), nearest, shared), tile_rows)
-    links = settle(class_links(dealt, limit, shared), compact=True)
+    indexes = fitted_indexes(classes, limit, fixed=(n_pivots, nearest, shared) if n_pivots else None)
+    dealt = tiled(postings(classes, indexes), tile_rows)
+    links = settle(class_links(dealt, indexes, limit), compact=True)
     counts = links.groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("others"))
     found = components(links.select("u", "v"))
     members = found.join(classes.select(F.col("class").alias("node"), "first_id"), "node")
