@@ -87,10 +87,25 @@ def test_maximal_repeats_are_all_groups_with_all_occurrences():
 
 def test_prefix_intervals():
     ordered = sorted([b"banana", b"anana", b"nana", b"ana", b"na", b"a"])
-    assert set(sd.prefix_intervals(ordered, 1)) == {(1, 0, 2), (3, 1, 2), (2, 4, 5)}
+    leaves = [sd.Shared(97 + (i % 2), i, i) for i in range(6)]
+    found = {(length, a, b): (s.before, s.least, s.most) for length, a, b, s in sd.prefix_intervals(ordered, 1, leaves)}
+    assert found == {(1, 0, 2): (sd.DIVERSE, 0, 2), (3, 1, 2): (sd.DIVERSE, 1, 2), (2, 4, 5): (sd.DIVERSE, 4, 5)}
     assert sd.common_prefix(b"abc", b"abd") == 2 and sd.common_prefix(b"\x00a", b"\x00a") == 2 and sd.common_prefix(b"", b"a") == 0
 
 
+def test_later_occurrences_cover_what_all_repeats_cover():
+    """Taking each suffix's longest repeat only covers the same bytes."""
+    draw = random.Random(8)
+    contents = list(dict.fromkeys("".join(draw.choice("ab") for _ in range(draw.randint(5, 40))).encode() for _ in range(60)))
+    docs, least = np.array([draw.randint(0, 20) for _ in contents]), 5
+    want = set()
+    for length, first, places in sd.maximal_repeats(contents, docs, least):
+        want |= {(f, p + i) for f, p in places if docs[f] > first for i in range(length)}
+    found = [*sd.later_occurrences(contents, docs, least)]
+    assert {(f, p + i) for f, p, length in found for i in range(length)} == want and want
+    assert len(found) == len({(f, p) for f, p, _ in found})
+
+
 def test_fragments_cover_every_window_once():
     draw = np.random.default_rng(1)
     sizes = [0, 49, 50, 51, 500, 0, 3_000, 20]
@@ -112,6 +127,8 @@ def test_window_hashes():
     for width in (1, 2, 3, 12, 49, 50, 64, 400, 401):
         found = sd.window_hashes(data, width)
         strings = [data[p:p + width].tobytes() for p in range(len(data) - width + 1)]
+        some = np.arange(0, len(strings), 3)
+        assert (sd.hashes_at(data, some, width) == found[some]).all()
         assert len(found) == len(strings) and len(set(zip(found.tolist(), strings))) == len(set(strings)) == len(set(found.tolist()))
 
 

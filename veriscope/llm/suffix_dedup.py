@@ -79,6 +79,15 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
+def hashes_at(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """``window_hashes`` of some places only."""
+    powers = np.array([pow(FACTOR, width - 1 - i, 1 << 64) for i in range(width)], dtype=np.uint64)
+    found = np.zeros(len(at), dtype=np.uint64)
+    for i in range(width):
+        found += BYTE_HASHES[data[at + i]] * powers[i]
+    return found
+
+
 def gram_values(data: np.ndarray, gram: int) -> np.ndarray:
     mixed = window_hashes(data, gram)
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(FACTOR)
@@ -344,7 +353,8 @@ def sent_fragments(texts: DataFrame, buckets: Buckets, passage: int) -> DataFram
                 alone = np.repeat(apart, length)
                 at = np.repeat(at, length) + no
                 until = np.where(alone, at + 1, np.repeat(until, length))
-                group = np.where(alone, buckets.group(spread(window_hashes(array, passage)[at])), np.repeat(group, length))
+                group = np.repeat(group, length)
+                group[alone] = buckets.group(spread(hashes_at(array, at[alone], passage)))
             piece = np.searchsorted(places, at, side="right") - 1
             offset = (at - places[piece]).tolist()
             for a, b, g, p, o in zip(at.tolist(), (until + passage - 1).tolist(), group.tolist(), piece.tolist(), offset):
@@ -364,54 +374,119 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def prefix_intervals(suffixes: list[bytes], least: int) -> Iterator[tuple[int, int, int]]:
+DIVERSE = 256  # stands for a fragment's beginning, and for different bytes
+
+
+class Shared:
+    """What the suffixes of an interval have in common: the byte before them, their least and
+    largest doc_id; and those of them that no inner interval has taken."""
+
+    __slots__ = ("before", "least", "most", "open")
+
+    def __init__(self, before: int, doc: int, no: int):
+        self.before, self.least, self.most, self.open = before, doc, doc, [no]
+
+    def add(self, other: Shared) -> None:
+        if self.before != other.before:
+            self.before = DIVERSE
+        if other.least < self.least:
+            self.least = other.least
+        if other.most > self.most:
+            self.most = other.most
+        if len(other.open) > len(self.open):
+            self.open, other.open = other.open, self.open
+        self.open += other.open
+
+
+def prefix_intervals(suffixes: list[bytes], least: int, leaves: list[Shared]) -> Iterator[tuple[int, int, int, Shared]]:
     """Of ordered suffixes: length of the common prefix, first and last of every interval that
-    shares ``least`` bytes or more, inner ones first."""
+    shares ``least`` bytes or more, and what it has in common; inner ones first.
+
+    ``leaves`` are of the single suffixes; they are added up along the stack.
+    """
     stack, n = [], len(suffixes)
     for i in range(1, n + 1):
-        begin, common = i - 1, common_prefix(suffixes[i - 1], suffixes[i]) if i < n else 0
+        begin, whole, common = i - 1, leaves[i - 1], common_prefix(suffixes[i - 1], suffixes[i]) if i < n else 0
         while stack and stack[-1][0] > common:
-            length, begin = stack.pop()
-            yield length, begin, i - 1
-        if common >= least and (not stack or stack[-1][0] < common):
-            stack.append((common, begin))
+            length, begin, node = stack.pop()
+            node.add(whole)
+            yield length, begin, i - 1, node
+            whole = node
+        if common >= least:
+            if stack and stack[-1][0] == common:
+                stack[-1][2].add(whole)
+            else:
+                stack.append((common, begin, whole))
+
+
+class SuffixArray:
+    """The suffixes of different fragments that begin with a window two documents have, in
+    order by class (windows with equal bytes).
+
+    Classes that are all preceded by the same byte are left out: they hold no maximal repeat.
+    """
+
+    def __init__(self, contents: list[bytes], docs: np.ndarray, passage: int):
+        self.data, self.passage = b"".join(contents), passage
+        array = np.frombuffer(self.data, np.uint8)
+        lengths = np.fromiter(map(len, contents), dtype=np.int64, count=len(contents))
+        self.ends = np.cumsum(lengths)
+        windows = lengths - passage + 1
+        owner = np.repeat(np.arange(len(contents), dtype=np.int32), windows)
+        begins = self.ends - lengths
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows - begins, windows)
+        hashed = window_hashes(array, passage)[at]
+        order = np.argsort(hashed)
+        hashed = hashed[order]
+        equal = np.r_[False, hashed[1:] == hashed[:-1]]
+        some = equal | np.r_[equal[1:], False]
+        order, equal = order[some], equal[some]
+        self.at, self.owner = at[order], owner[order]
+        self.place = self.at - begins[self.owner]
+        self.heads = np.flatnonzero(~equal)
+        self.tails = np.r_[self.heads[1:], len(order)]
+        if len(order):
+            self.doc = docs[self.owner]
+            self.before = np.where(self.place == 0, DIVERSE, array[self.at - 1].astype(np.int64))
+            low, high = np.minimum.reduceat(self.before, self.heads), np.maximum.reduceat(self.before, self.heads)
+            chosen = np.minimum.reduceat(self.doc, self.heads) < np.maximum.reduceat(self.doc, self.heads)
+            chosen &= (high == DIVERSE) | (low < high)
+            self.heads, self.tails = self.heads[chosen], self.tails[chosen]
+
+    def repeats(self) -> Iterator[tuple[int, Shared, list[tuple[int, int]], range]]:
+        """Every maximal repeat in two documents or more: its length, what it has in common, the
+        suffixes of its class in order, as (fragment, place), and which of them are its occurrences."""
+        for head, tail in zip(self.heads.tolist(), self.tails.tolist()):
+            owner, ends = self.owner[head:tail].tolist(), self.ends[self.owner[head:tail]].tolist()
+            members = sorted(zip(
+                [self.data[a:e] for a, e in zip(self.at[head:tail].tolist(), ends)], owner, self.place[head:tail].tolist(),
+                self.before[head:tail].tolist(), self.doc[head:tail].tolist()))
+            leaves = [Shared(m[3], m[4], no) for no, m in enumerate(members)]
+            places = [(m[1], m[2]) for m in members]
+            for length, first, last, shared in prefix_intervals([m[0] for m in members], self.passage, leaves):
+                if shared.before == DIVERSE and shared.least < shared.most:
+                    yield length, shared, places, range(first, last + 1)
 
 
 def maximal_repeats(contents: list[bytes], docs: np.ndarray, passage: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    """Of different fragments: length, smallest doc_id and all occurrences (fragment, place) of
-    every maximal repeat in two documents or more."""
-    data = b"".join(contents)
-    array = np.frombuffer(data, np.uint8)
-    lengths = np.fromiter(map(len, contents), dtype=np.int64, count=len(contents))
-    ends = np.cumsum(lengths)
-    windows = lengths - passage + 1
-    owner = np.repeat(np.arange(len(contents)), windows)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = (ends - lengths)[owner] + place
-    hashed = window_hashes(array, passage)[at]
-    order = np.argsort(hashed)
-    hashed = hashed[order]
-    equal = np.r_[False, hashed[1:] == hashed[:-1]]
-    some = equal | np.r_[equal[1:], False]
-    order, equal = order[some], equal[some]
-    if not len(order):
-        return
-    heads = np.flatnonzero(~equal)
-    tails = np.r_[heads[1:], len(order)]
-    doc = docs[owner[order]]
-    before = np.where(place[order] == 0, 256, array[at[order] - 1].astype(np.int64))
-    low, high = np.minimum.reduceat(before, heads), np.maximum.reduceat(before, heads)
-    chosen = (np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)) & ((high == 256) | (low < high))
-    for head, tail in zip(heads[chosen].tolist(), tails[chosen].tolist()):
-        members = sorted(
-            (data[at[i]:ends[owner[i]]], int(owner[i]), int(place[i]), int(b), int(d))
-            for i, b, d in zip(order[head:tail].tolist(), before[head:tail].tolist(), doc[head:tail].tolist()))
-        for length, first, last in prefix_intervals([m[0] for m in members], passage):
-            inside = members[first:last + 1]
-            preceding = {m[3] for m in inside}
-            smallest = min(m[4] for m in inside)
-            if (len(preceding) > 1 or 256 in preceding) and smallest < max(m[4] for m in inside):
-                yield length, smallest, [(m[1], m[2]) for m in inside]
+    """Length, smallest doc_id and all occurrences (fragment, place) of every maximal repeat."""
+    for length, shared, places, inside in SuffixArray(contents, docs, passage).repeats():
+        yield length, shared.least, [places[i] for i in inside]
+
+
+def later_occurrences(contents: list[bytes], docs: np.ndarray, passage: int) -> Iterator[tuple[int, int, int]]:
+    """Fragment, place and length of what a smaller doc_id has too: of a suffix in nested maximal
+    repeats, the longest one that does."""
+    known = docs.tolist()
+    for length, shared, places, _ in SuffixArray(contents, docs, passage).repeats():
+        left = []
+        for i in shared.open:
+            fragment, place = places[i]
+            if known[fragment] > shared.least:
+                yield fragment, place, length
+            else:
+                left.append(i)
+        shared.open = left
 
 
 def _group_repeats(table: pa.Table, passage: int) -> Iterator[tuple[int, int, int]]:
@@ -428,12 +503,10 @@ def _group_repeats(table: pa.Table, passage: int) -> Iterator[tuple[int, int, in
     contents = list(held.found)
     known = list(held.found.values())
     docs = np.array([k[0] for k in known], dtype=np.int64)
-    for length, smallest, occurrences in maximal_repeats(contents, docs, passage):
-        for fragment, place in occurrences:
-            if docs[fragment] > smallest:
-                holders = known[fragment]
-                for i in range(2, len(holders), 2):
-                    yield holders[i], holders[i + 1] + place, holders[i + 1] + place + length
+    for fragment, place, length in later_occurrences(contents, docs, passage):
+        holders = known[fragment]
+        for i in range(2, len(holders), 2):
+            yield holders[i], holders[i + 1] + place, holders[i + 1] + place + length
 
 
 def repeats(texts: DataFrame, total_bytes: int, passage: int = PASSAGE, group_bytes: int = GROUP_BYTES,
