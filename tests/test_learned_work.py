@@ -4,7 +4,7 @@ import inspect
 
 import pytest
 
-from veriscope.learning import evaluation
+from veriscope.learning import boosting, network, text_forests
 from veriscope.plans import learned
 
 
@@ -26,7 +26,8 @@ def seen(monkeypatch):
 
         monkeypatch.setattr(learned, name, call)
 
-    for name in ("learning_curve", "random_search", "early_stopped_epochs", "difficulty_importances", "fit_classifier"):
+    for name in ("forest_predictions", "boosted_predictions", "forest_importances", "boosted_importances", "forest_curve",
+                 "forest_search", "fit_network", "difficulty_importances"):
         stand_in(name, getattr(learned, name))
     return found
 
@@ -36,37 +37,35 @@ def run(query, spark, sf_dir):
         learned.QUERIES[query](spark, sf_dir)
 
 
-def vocabulary(stages):
-    return next(s.vocabulary for s in stages if hasattr(s, "vocabulary"))
-
-
 def test_trees(spark, sf_dir, seen):
-    for query in ("rf_predictions", "feature_importance"):
+    for query, name in (("rf_predictions", "forest_predictions"), ("feature_importance", "forest_importances")):
+        run(query, spark, sf_dir)
+        assert (seen[name]["trees"], seen[name]["vocabulary"], seen[name]["how"]) == (705, 5000, {})
+        spec = text_forests.forest_spec(5001, **seen[name]["how"])
+        assert (spec.depth, spec.min_split, spec.min_leaf, spec.subset, spec.bootstrap) == (38, 6, 1, 12, True)
+    for query, name in (("gbt_predictions", "boosted_predictions"), ("boosted_importance", "boosted_importances")):
         run(query, spark, sf_dir)
-        forest = seen["fit_classifier"]["classifier"]
-        assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy()) == (705, 30, "log2")
-        assert vocabulary(seen["fit_classifier"]["stages"]) == 5000
-    run("gbt_predictions", spark, sf_dir)
-    boosted = seen["fit_classifier"]["classifier"]
-    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getMinInstancesPerNode()) == (100, 10, 6)
-    assert vocabulary(seen["fit_classifier"]["stages"]) == 5000
+        how = seen[name]["how"]
+        assert how == boosting.Boosting() and (how.rounds, how.depth, how.least) == (100, 10, 6) and seen[name]["vocabulary"] == 5000
+        assert (round(how.ridge, 4), round(how.lasso, 4), round(how.price, 4)) == (0.1408, 0.3606, 3.6551)
     run("difficulty_importance", spark, sf_dir)
     assert (seen["difficulty_importances"]["trees"], seen["difficulty_importances"]["depth"]) == (100, 30)
 
 
 def test_curve_and_search(spark, sf_dir, seen):
     run("learning_curve", spark, sf_dir)
-    asked = seen["learning_curve"]
+    asked = seen["forest_curve"]
     assert asked["folds"] == 3 and asked["fractions"] == pytest.approx((0.3, 0.475, 0.65, 0.825, 1.0))
-    assert vocabulary(asked["stages"]()) == 5000 and asked["classifier"]().getNumTrees() == 705
+    assert asked["vocabulary"] == 5000 and asked["trees"] == 705 and asked["how"] == {}
     run("param_search", spark, sf_dir)
-    asked = seen["random_search"]
-    assert asked["trials"] == 30 and asked["space"] == evaluation.FOREST_SPACE and vocabulary(asked["stages"]) == 5000
+    asked = seen["forest_search"]
+    assert asked["trials"] == 30 and asked["space"] == text_forests.SPACE and asked["vocabulary"] == 5000
+    assert asked["space"]["trees"] == ("int", 100, 1000) and asked["space"]["depth"] == ("int", 5, 50)
 
 
 def test_network(spark, sf_dir, seen):
     for query in ("mlp_history", "mlp_best_epoch", "mlp_predictions"):
         run(query, spark, sf_dir)
-        asked = seen["early_stopped_epochs"]
-        assert list(asked["epochs"]) == list(range(1, 51)) and asked["patience"] == 5
-        assert asked["make"](50).getLayers()[1:] == [256, 128, 2] and asked["make"](50).getMaxIter() == 50
+        asked = seen["fit_network"]
+        assert (asked["epochs"], asked["patience"], asked["hidden"], asked["batch"], asked["dropout"]) == (50, 5, (256, 128), 512, 0.2)
+        assert asked["train"].columns == asked["held"].columns and network.MOST_STEPS == 64

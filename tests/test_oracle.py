@@ -6,7 +6,6 @@ import __spark_entry__ as registered
 from tools.check_queries import compare, connect
 
 QUERIES, ORACLE = registered.queries(), registered.oracle_sql()
-HEAVY = {"learning_curve", "param_search", "mlp_history", "feature_importance"}
 # sizes of the fixture's samples exceed the smallest data set
 NEEDS_MORE_ROWS = {"wilson_by_sample_size"}
 
@@ -19,7 +18,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert "types" not in result, result
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_runs(spark, sf_dir, name):
     if name == "pca_50":
         sf_dir = "/root/testdata/sf0.01"

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from veriscope.functions.stats import star_rating
 from veriscope.functions.text import filled, terms
+from veriscope.learning.pca import Projection, fit_components, project_on
 
 
 def hashed_word_vectors(texts: DataFrame, size: int = 64, text: str = "text_", output: str = "embedding") -> DataFrame:
@@ -76,24 +75,15 @@ def annotate(texts: DataFrame, make_annotator: Callable, measures: Sequence[str]
     return texts.select(key, filled(F.col(text)).alias("_text")).mapInPandas(run, schema)
 
 
-def fit_projection(vectors: DataFrame, dimensions: int = 2, column: str = "embedding") -> PipelineModel:
+def fit_projection(vectors: DataFrame, dimensions: int = 2, column: str = "embedding") -> Projection:
     """Centred principal components of an array column."""
-    stages = [
-        StandardScaler(inputCol="_vector", outputCol="_centred", withMean=True, withStd=False),
-        PCA(k=dimensions, inputCol="_centred", outputCol="components"),
-    ]
-    return Pipeline(stages=stages).fit(_with_ml_vector(vectors, column))
+    return fit_components(vectors, dimensions, column)
 
 
-def _with_ml_vector(vectors: DataFrame, column: str) -> DataFrame:
-    return vectors.withColumn("_vector", array_to_vector(F.col(column).cast("array<double>")))
-
-
-def project(model: PipelineModel, vectors: DataFrame, column: str = "embedding") -> DataFrame:
+def project(model: Projection, vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """Add ``components`` as an array column."""
-    projected = model.transform(_with_ml_vector(vectors, column))
-    return projected.withColumn("components", vector_to_array("components")).drop("_vector", "_centred")
+    return project_on(model, vectors, column)
 
 
-def explained_variance(model: PipelineModel) -> list[float]:
-    return model.stages[-1].explainedVariance.toArray().tolist()
+def explained_variance(model: Projection) -> list[float]:
+    return model.shares.tolist()

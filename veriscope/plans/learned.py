@@ -1,28 +1,25 @@
 """Fitted classifiers, projections and supplied models over the given tables.
 
-Parameters are the reference's, on all labelled rows; MLlib ends trees at depth 30.
+Classifiers are fitted with all their trees, rounds, folds, trials and epochs, on all labelled rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from veriscope.functions.text import with_native_features
-from veriscope.learning.classifiers import (
-    boosted_trees, dense_network, fit_classifier, fit_features, over_threshold, random_forest, score,
-    text_and_rating, vector_category_rating, with_vector,
-)
-from veriscope.learning.evaluation import (
-    FOREST_SPACE, difficulty_importances, early_stopped_epochs, learning_curve, log_loss_and_accuracy,
-    named_importances, random_search,
-)
+from veriscope.learning.boosting import boosted_importances, boosted_predictions
+from veriscope.learning.classifiers import fit_features, vector_category_rating, with_vector
+from veriscope.learning.evaluation import difficulty_importances
+from veriscope.learning.network import fit_network, network_scores
 from veriscope.learning.remote import score_remotely
+from veriscope.learning.text_forests import forest_curve, forest_importances, forest_predictions, forest_search
 from veriscope.learning.vectors import (
     annotate, encode, explained_variance, fit_projection, hashed_word_vectors, project, star_sentiment,
 )
+from veriscope.learning.word_vectors import SIZE, fit_word_vectors, text_vectors
 from veriscope.operators.consolidate import any_error, difficulty
 from veriscope.operators.metrics import accuracy_with_interval, best_epoch, fold_summary
 from veriscope.operators.selection import hash_fraction, stratified_split
@@ -31,33 +28,21 @@ from veriscope.plans.measures import CORRELATED
 from veriscope.plans.tables import MODELS, SUPERLATIVES, documents, labels, reviews, rounded, wide
 from veriscope.shared import settle
 
-VOCABULARY = 5000
-EPOCHS = 50
 VARIANTS = {"basic": {"shift": 0}, "improved": {"shift": 1}}
 
 
-def _parts(spark, sf_dir):
-    """Training and test texts, joined and written once: fitting reads them several times."""
-    placed = settle(stratified_split(reviews(spark, sf_dir)))
-    return placed.where("part = 'train'").drop("part"), placed.where("part = 'test'").drop("part")
-
-
-def _forest():
-    return random_forest()
+def _marked(spark, sf_dir):
+    """All labelled texts and whether they train, joined and written once: fitting reads them several times."""
+    placed = stratified_split(reviews(spark, sf_dir))
+    return settle(placed.withColumn("trains", F.col("part") == "train").drop("part"))
 
 
 def rf_predictions(spark, sf_dir):
-    train, test = _parts(spark, sf_dir)
-    return score(fit_classifier(train, text_and_rating(VOCABULARY), _forest()).model, test, "random_forest")
+    return forest_predictions(_marked(spark, sf_dir), "random_forest")
 
 
 def gbt_predictions(spark, sf_dir):
-    """Boosting stops early on a validation part of the training rows."""
-    train, test = _parts(spark, sf_dir)
-    train = train.withColumn("held", hash_fraction(seed=7) < 0.2)
-    classifier = boosted_trees(validation="held")
-    fitted = fit_classifier(train, text_and_rating(VOCABULARY), classifier, keep=["held"])
-    return score(fitted.model, test, "boosted_trees")
+    return boosted_predictions(_marked(spark, sf_dir), "boosted_trees")
 
 
 def _vectors(spark, sf_dir):
@@ -71,48 +56,45 @@ def _vector_parts(spark, sf_dir):
 
 
 def _network(spark, sf_dir):
-    """Feature stages, network and history; epochs are chosen on a part of the training rows."""
+    """Feature stages, weights and history; epochs are chosen on a part of the training rows."""
     train, _ = _vector_parts(spark, sf_dir)
     usable = train.where("embedding IS NOT NULL").withColumn("held", hash_fraction(seed=7) < 0.2)
     prepared, vectors = fit_features(usable, vector_category_rating(), keep=["held"])
-    size = vectors.select("features").first().features.size
-    network, history = early_stopped_epochs(
-        vectors.where("NOT held"), vectors.where("held"), lambda n: dense_network(size, epochs=n), range(1, EPOCHS + 1),
-        log_loss_and_accuracy,
-    )
-    return prepared, network, history
+    weights, history = fit_network(vectors.where("NOT held"), vectors.where("held"))
+    return prepared, weights, history
 
 
 def mlp_predictions(spark, sf_dir):
     """The network's answer for every test text; none for a text without vector."""
     _, test = _vector_parts(spark, sf_dir)
-    prepared, network, _ = _network(spark, sf_dir)
+    prepared, weights, _ = _network(spark, sf_dir)
     names = prepared.stages[0].labels
     coded = PipelineModel(stages=prepared.stages[1:]).transform(test.where("embedding IS NOT NULL"))
-    scored = network.transform(coded).select(
-        "id", "label", F.array(*map(F.lit, names))[F.col("prediction").cast("int")].alias("predicted_label"),
-        over_threshold(F.col("probability")).alias("over_threshold"),
-        F.round(vector_to_array("probability")[1], 3).alias("p_genuine"),
+    over = (F.col("p") > 0.5).cast("int")
+    scored = network_scores(coded, weights, "id", "label").select(
+        "id", "label", F.array(*map(F.lit, names))[over].alias("predicted_label"),
+        over.alias("over_threshold"), F.round("p", 3).alias("p_genuine"),
     )
     return scored.unionByName(test.where("embedding IS NULL").select("id", "label"), allowMissingColumns=True)
 
 
-def _mlp_history(spark, sf_dir):
-    return _network(spark, sf_dir)[2]
-
-
 def mlp_history(spark, sf_dir):
-    """Validation loss and accuracy by number of epochs, until the loss stops improving."""
-    return rounded(_mlp_history(spark, sf_dir), digits=3)
+    """Training loss, validation loss and accuracy by epoch, until the validation loss stops improving."""
+    return rounded(_network(spark, sf_dir)[2], digits=3)
 
 
 def mlp_best_epoch(spark, sf_dir):
-    return rounded(best_epoch(_mlp_history(spark, sf_dir).withColumn("model", F.lit("network"))), digits=3)
+    history = _network(spark, sf_dir)[2].drop("loss").withColumn("model", F.lit("network"))
+    return rounded(best_epoch(history), digits=3)
 
 
 def feature_importance(spark, sf_dir):
-    train, _ = _parts(spark, sf_dir)
-    return rounded(named_importances(fit_classifier(train, text_and_rating(VOCABULARY), _forest()).model))
+    return rounded(forest_importances(_marked(spark, sf_dir)))
+
+
+def boosted_importance(spark, sf_dir):
+    """The features whose cuts gain most in the boosted trees."""
+    return rounded(boosted_importances(_marked(spark, sf_dir)))
 
 
 def difficulty_importance(spark, sf_dir):
@@ -122,12 +104,11 @@ def difficulty_importance(spark, sf_dir):
 
 
 def curve(spark, sf_dir):
-    scores = learning_curve(settle(reviews(spark, sf_dir)), lambda: text_and_rating(VOCABULARY), _forest)
-    return rounded(fold_summary(scores, by="fraction"))
+    return rounded(fold_summary(forest_curve(settle(reviews(spark, sf_dir))), by="fraction"))
 
 
 def param_search(spark, sf_dir):
-    return rounded(random_search(settle(reviews(spark, sf_dir)), text_and_rating(VOCABULARY), random_forest, FOREST_SPACE))
+    return rounded(forest_search(settle(reviews(spark, sf_dir))))
 
 
 def pca_2d(spark, sf_dir):
@@ -149,12 +130,28 @@ def pca_50(spark, sf_dir):
                                   F.aggregate("components", F.lit(0.0), lambda a, x: a + x * x).alias("energy")))
 
 
+def pca_energy(spark, sf_dir):
+    """Squared length of every vector in all its components: the squared distance from the mean."""
+    vectors = _vectors(spark, sf_dir)
+    length = vectors.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()[0]
+    placed = project(fit_projection(vectors, length), vectors)
+    return rounded(placed.select("id", F.aggregate("components", F.lit(0.0), lambda a, x: a + x * x).alias("energy")), digits=4)
+
+
 def word_vectors(spark, sf_dir):
     """Hashed word directions averaged by text, in eight places."""
     vectors = hashed_word_vectors(documents(spark, sf_dir), size=8)
     return rounded(vectors.select("id", *[F.col("embedding")[i].alias(f"v{i}") for i in range(8)]))
 
 
+def trained_vectors(spark, sf_dir):
+    """Document vectors from word vectors fitted on all texts: their number of places and squared length."""
+    texts = documents(spark, sf_dir)
+    vectors = text_vectors(texts, fit_word_vectors(texts), SIZE)
+    return rounded(vectors.select("id", F.size("embedding").alias("places"),
+                                  F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("energy")), digits=3)
+
+
 def _length_encoder():
     def run(texts):
         return np.array([[len(t), t.count(" ")] for t in texts], dtype="float32")
@@ -227,12 +224,15 @@ QUERIES = {
     "mlp_history": mlp_history,
     "mlp_best_epoch": mlp_best_epoch,
     "feature_importance": feature_importance,
+    "boosted_importance": boosted_importance,
     "difficulty_importance": difficulty_importance,
     "learning_curve": curve,
     "param_search": param_search,
     "pca_2d": pca_2d,
     "pca_50": pca_50,
+    "pca_energy": pca_energy,
     "word_vectors": word_vectors,
+    "trained_vectors": trained_vectors,
     "encoded_texts": encoded_texts,
     "scored_stars": scored_stars,
     "annotated_texts": annotated_texts,
@@ -252,6 +252,11 @@ PLACES = ", ".join(
     f"round(sum(CASE WHEN place = {i} THEN sign ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS v{i}" for i in range(8))
 
 ORACLE = {
+    "pca_energy": """
+        WITH cells AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+        means AS (SELECT i, avg(x) AS m FROM cells GROUP BY i)
+        SELECT v.vec_id AS id, round(sum((x - m) ^ 2), 4) AS energy
+        FROM embeddings v LEFT JOIN (cells JOIN means USING (i)) c ON v.vec_id = c.id GROUP BY v.vec_id""",
     "word_vectors": sql(rf"""
         , hashed AS (
           SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) AS n
