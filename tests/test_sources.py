@@ -13,7 +13,7 @@ from veriscope.sources.predictions import (
 from veriscope.sources.reviews import (
     columns_with_prefix, encoded_label, enrich, import_reviews, new_columns, scaled_stars, without_nan,
 )
-from veriscope.sources.store import materialize
+from veriscope.sources.store import manifest, materialize, publish, published
 
 REVIEWS = '''category,rating,label,text_
 Books_5,5.0,OR,"Two lines
@@ -104,6 +104,54 @@ def test_materialized_once_per_parameters(spark, tmp_path):
     assert calls == [3, 5]
 
 
+def test_materialized_again_when_an_input_changes(spark, tmp_path):
+    import os
+
+    calls, folder = [], tmp_path / "inputs"
+    folder.mkdir()
+    (folder / "a.txt").write_text("one")
+
+    def get(n):
+        return materialize(spark, str(tmp_path / "out"), "table", lambda: calls.append(n) or spark.range(n), {"k": 1}, [str(folder)]).count()
+
+    assert get(3) == 3 and get(4) == 3 and calls == [3]
+    (folder / "b.txt").write_text("more")
+    assert get(5) == 5 and get(6) == 5
+    (folder / "a.txt").write_text("two")
+    os.utime(folder / "a.txt", (1_000_000, 1_000_000))
+    assert get(7) == 7 and calls == [3, 5, 7]
+    assert manifest(spark, [str(folder)])["files"] == 2 and manifest(spark, []) == {}
+
+
+def test_two_writers_leave_one_table(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.range(2).write.parquet(f"{folder}/x")
+    spark.range(9).write.parquet(f"{folder}/y")
+    assert published(spark, folder) is None
+    assert publish(spark, folder, "x").endswith("/x") and publish(spark, folder, "y").endswith("/x")
+    assert published(spark, folder).endswith("/x")
+
+    def build():
+        # another writer ends while this one builds
+        if not calls:
+            calls.append(1)
+            assert materialize(spark, str(tmp_path), "raced", build).count() == 5
+        return spark.range(5 if len(calls) == 1 else 6)
+
+    calls = []
+    assert materialize(spark, str(tmp_path), "raced", build).count() == 5
+    assert materialize(spark, str(tmp_path), "raced", lambda: spark.range(0)).count() == 5
+
+
+def test_data_rows_equal_to_the_header_stay(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(REVIEWS + "category,rating,label,text_\n")
+    (tmp_path / "b.csv").write_text("label,text_,rating,category\nOR,x,2.0,Toys_5\nlabel,text_,rating,category\n")
+    found = import_reviews(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted((r.category, r.text_ or "") for r in found.collect()) == sorted([
+        ("Books_5", 'Two lines\nand "quotes", commas'), ("Toys_5", ""), ("Books_5", "plain"), ("category", "text_"),
+        ("Toys_5", "x"), ("category", "text_")])
+
+
 def test_shared_tables(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, None)], "id long, v array<double>")
     assert settle(df).exceptAll(df).count() == 0

@@ -52,13 +52,12 @@ def read_csv_by_name(spark: SparkSession, path: str | list[str], names: Sequence
     for name in names:
         if name not in optional and (lacking := headers.where(~F.array_contains("_header", name)).first()):
             raise ValueError(f"no column {name} in {lacking['_file']}")
-    read = spark.read.option("recursiveFileLookup", True).option("multiLine", True).option("escape", '"').option("sep", sep)
+    # with the header option, the first record of each file is left out, whatever the names
+    read = spark.read.option("recursiveFileLookup", True).option("header", True).option("multiLine", True)
+    read = read.option("escape", '"').option("sep", sep)
     rows = read.schema(ddl).csv(path).select(F.array(*fields).alias("_cells"), place.alias("_file")).join(
         broadcast_if_small(headers), "_file")
-    is_header = F.regexp_replace(F.get("_cells", F.lit(0)), "^\ufeff", "") == F.get("_header", F.lit(0))
-    is_header = F.coalesce(is_header, F.lit(False)) & (
-        F.slice("_cells", F.lit(2), F.size("_header") - 1) == F.slice("_header", F.lit(2), F.size("_header") - 1))
-    return rows.where(~F.coalesce(is_header, F.lit(False))).select(
+    return rows.select(
         "_file", *[F.get("_cells", (F.array_position("_header", name) - 1).cast("int")).alias(name) for name in names])
 
 
