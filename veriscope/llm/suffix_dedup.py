@@ -42,12 +42,12 @@ from veriscope.shared import settle
 PASSAGE = 50
 GRAM = 16  # bytes of a gram
 SLICE_BYTES = 1 << 20  # looked at in one go
-HELD_BYTES = 12 << 20  # fragments that a task compares with each other
-GROUP_BYTES = 4 << 20  # fragments that a group is made for
+HELD_BYTES = 6 << 20  # fragments that a task compares with each other
+GROUP_BYTES = 2 << 20  # fragments that a group is made for
 FRAGMENT_BYTES = 70  # of a fragment, on average
 CROWDED = 6_000  # a bucket of more fragments is sent by windows
 MOST_CROWDED = 1 << 20  # buckets that the driver may hold by number
-COUNTED = 1 << 19  # buckets that a task counts before it passes them on
+COUNTED = 1 << 18  # buckets that a task counts before it passes them on
 PART_BYTES = 64 << 20  # bytes of text for every part that merges counts
 MOST_TABLE_BITS = 28  # of the table of shared buckets, as a power of two
 LONGEST_RUN = 1024  # windows of a fragment
