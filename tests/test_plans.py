@@ -5,7 +5,7 @@ import re
 import pytest
 
 from veriscope.plans import registry
-from veriscope.plans.tables import documents, wide
+from veriscope.plans.tables import documents, joined_facts, wide
 from veriscope.functions.text import with_native_features, without_helpers
 
 
@@ -21,9 +21,11 @@ def test_features_stay_in_the_jvm_without_shuffle(spark, sf_dir):
 
 def test_reports_do_not_shuffle_texts(spark, sf_dir):
     """The measured numbers, not the texts, enter the join with the labels."""
-    shown = plan(wide(spark, sf_dir))
+    shown = plan(joined_facts(spark, sf_dir))
     join = shown.index("Join")
     assert re.search(r"size\(array", shown[join:])
+    # audits read the numbers that are stored
+    assert "text" not in re.sub(r"Location: [^\n]*", "", plan(wide(spark, sf_dir)))
 
 
 def test_no_row_level_step_in_a_single_task(spark, sf_dir):

@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from veriscope.functions.text import with_native_features
 from veriscope.learning.boosting import boosted_importances, boosted_predictions
 from veriscope.learning.classifiers import fit_features, vector_category_rating, with_vector
 from veriscope.learning.evaluation import difficulty_importances
@@ -24,8 +23,8 @@ from veriscope.operators.consolidate import any_error, difficulty
 from veriscope.operators.metrics import accuracy_with_interval, best_epoch, fold_summary
 from veriscope.operators.selection import hash_fraction, stratified_split
 from veriscope.plans.ctes import sql
-from veriscope.plans.measures import CORRELATED
-from veriscope.plans.tables import MODELS, SUPERLATIVES, documents, labels, reviews, rounded, wide
+from veriscope.plans.measures import CORRELATED, native_features
+from veriscope.plans.tables import MODELS, documents, labels, reviews, rounded, wide
 from veriscope.shared import settle
 
 VARIANTS = {"basic": {"shift": 0}, "improved": {"shift": 1}}
@@ -98,7 +97,7 @@ def boosted_importance(spark, sf_dir):
 
 
 def difficulty_importance(spark, sf_dir):
-    measured = with_native_features(documents(spark, sf_dir), superlatives=SUPERLATIVES).select("id", *CORRELATED)
+    measured = native_features(spark, sf_dir).select("id", *CORRELATED)
     judged = wide(spark, sf_dir).select("id", difficulty(MODELS).alias("difficulty")).join(measured, "id")
     return rounded(difficulty_importances(judged, CORRELATED, depth=30))
 

@@ -17,7 +17,7 @@ from veriscope.operators.terms import cohort_term_difference, tfidf
 from veriscope.plans.ctes import STOP_WORDS as STOP_SQL
 from veriscope.plans.ctes import sql
 from veriscope.plans.tables import (
-    MODELS, NEGATORS, STOP_WORDS, SUPERLATIVES, documents, lexicon, rounded, wide,
+    MODELS, NEGATORS, STOP_WORDS, SUPERLATIVES, documents, lexicon, rounded, stored, wide,
 )
 from veriscope.shared import broadcast_if_small, settle
 
@@ -32,14 +32,19 @@ CORRELATED = (
 VOCABULARY = 500
 
 
+def native_features(spark, sf_dir):
+    """The features that need no lexicon, stored."""
+    return stored(spark, sf_dir, "features", lambda: without_helpers(
+        with_native_features(documents(spark, sf_dir), superlatives=SUPERLATIVES)).drop("text_"), "documents")
+
+
 def text_features(spark, sf_dir):
-    texts = documents(spark, sf_dir)
-    return rounded(without_helpers(with_native_features(texts, superlatives=SUPERLATIVES)).drop("text_"))
+    return rounded(native_features(spark, sf_dir))
 
 
 def _profiled(spark, sf_dir):
-    return text_profile(documents(spark, sf_dir), lexicon(spark, sf_dir), ["category", "rating"],
-                        superlatives=SUPERLATIVES, negators=NEGATORS)
+    return stored(spark, sf_dir, "profile", lambda: text_profile(
+        documents(spark, sf_dir), lexicon(spark, sf_dir), ["category", "rating"], superlatives=SUPERLATIVES, negators=NEGATORS), "documents")
 
 
 def text_features_full(spark, sf_dir):
@@ -56,7 +61,7 @@ def _judged(spark, sf_dir):
 
 def _judged_native(spark, sf_dir):
     """Labelled texts with native features: features first, so that no text is shuffled."""
-    measured = with_native_features(documents(spark, sf_dir), superlatives=SUPERLATIVES).select("id", *NATIVE_FEATURES)
+    measured = native_features(spark, sf_dir).select("id", *NATIVE_FEATURES)
     return _judged(spark, sf_dir).join(measured, "id")
 
 

@@ -7,12 +7,15 @@ Three fixed rules play the classifiers, so that every engine predicts the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.functions.text import SPACE_CHARS, words
 from veriscope.operators.consolidate import consolidate, long_predictions
-from veriscope.shared import settle
+from veriscope.shared import shared_folder
+from veriscope.sources.store import materialize
 
 MODELS = ("rule_length", "rule_variety", "rule_punct")
 LABELS = ("CG", "OR")
@@ -22,14 +25,24 @@ SUPERLATIVES = ("the", "that", "and", "there")
 NEGATORS = ("not", "no", "la", "in")
 PUNCTUATION = r"[^\p{L}\p{N}\s]"
 BASE = ("category", "rating", "label")
+# A session may name the number of tasks that texts are dealt to as they are read: Spark does not
+# split a row group, so that a file of one is one task.  Tables of many row groups need none.
+SPREAD = "spark.veriscope.spread"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts: id, category, rating, text_."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+def documents(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
+    """All texts: id, category, rating, text_; dealt to ``spread`` tasks, if given or set in the session."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("id"), F.col("source").alias("category"),
         (1 + F.col("n_chars") % 5).cast("double").alias("rating"), F.col("text").alias("text_"),
     )
+    spread = spread or int(spark.conf.get(SPREAD, "0"))
+    return texts.repartition(spread) if spread else texts
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], *tables: str) -> DataFrame:
+    """What several audits read, built once as long as the given tables stay as they are."""
+    return materialize(spark, shared_folder(spark), f"veriscope-{name}", build, {}, [f"{sf_dir}/{t}.parquet" for t in tables])
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +64,16 @@ def measured(texts: DataFrame) -> DataFrame:
     }).withColumns({"wl": F.size("lw"), "uq": F.size(F.array_distinct("lw"))}).drop("lw", "text_")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def joined_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled texts by their numbers: measured before the join, so no text is shuffled."""
     return measured(documents(spark, sf_dir)).join(labels(spark, sf_dir), "id")
 
 
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, stored: texts are read by the first audit of a session only."""
+    return stored(spark, sf_dir, "facts", lambda: joined_facts(spark, sf_dir), "documents", "labels")
+
+
 def rules() -> dict[str, Column]:
     def verdict(genuine):
         return F.when(genuine, "OR").otherwise("CG")
@@ -79,16 +97,16 @@ def wide(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word scores for the short plain words of the texts, settled once."""
+    """Word scores for the short plain words of the texts, stored."""
     found = F.regexp_extract_all(F.lower("text_"), F.lit(rf"(?<![^{SPACE_CHARS}])[a-z]{{2,6}}(?![^{SPACE_CHARS}])"), 0)
     listed = documents(spark, sf_dir).select(F.explode(F.array_distinct(found)).alias("word")).distinct()
     code, size = F.ascii("word"), F.length("word")
-    return settle(listed.select(
+    return stored(spark, sf_dir, "lexicon", lambda: listed.select(
         "word",
         (1 + ((code * 31 + size * 7) % 401) / 100.0).alias("concreteness"),
         (((code * 17 + size * 5) % 201 - 100) / 100.0).alias("polarity"),
         F.when((code + size) % 3 == 0, "ADJ").when((code + size) % 3 == 1, "NOUN").otherwise("OTHER").alias("pos"),
-    ))
+    ), "documents")
 
 
 def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
