@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_runs(spark, sf_dir, name):
-    if name == "pca_50":
+    if name in ("pca_50", "boosted_importance"):  # 69 training texts of the smallest set do not pay for a cut
         sf_dir = "/root/testdata/sf0.01"
     assert QUERIES[name](spark, sf_dir).count() > 0
 
