@@ -1,5 +1,6 @@
 """What must not grow with the input: what is broadcast, written and read by one task."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from veriscope import shared
@@ -23,3 +24,21 @@ def test_large_blocks_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(fits_broadcast, "__defaults__", (shared.MAX_BROADCAST_ROWS, 1_000_000))
     assert not fits_broadcast(table)
     assert "broadcast" not in shared.broadcast_if_small(table)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_difficulty_importances_follow_the_rows_alone(spark):
+    from veriscope.learning.evaluation import difficulty_importances
+
+    def line(i):
+        return i, float(i * 7 % 4), float(i * 7 % 4) + (i * 31 % 10) / 20, float(i * 17 % 23), None if i == 5 else float(i * 13 % 3)
+
+    rows = spark.createDataFrame([line(i) for i in range(400)], "id long, difficulty double, a double, b double, c double")
+    found = [difficulty_importances(df, ["a", "b", "c"], trees=12, depth=30, **how).collect() for df, how in (
+        (rows, {}), (rows.repartition(3), {}), (rows, {"block_rows": 150}))]
+    shares = {r.feature: r.importance_pct for r in found[0]}
+    assert list(shares)[0] == "a" and shares["a"] > 60 and sum(shares.values()) == pytest.approx(100)
+    for other in found[1:]:
+        assert [r.feature for r in other] == list(shares)
+        assert [r.importance_pct for r in other] == pytest.approx(list(shares.values()))
+    constant = difficulty_importances(rows.withColumn("difficulty", F.lit(1.0)), ["a", "b"], trees=2).collect()
+    assert [tuple(r) for r in constant] == [("a", 0.0), ("b", 0.0)]
