@@ -42,3 +42,15 @@ def test_difficulty_importances_follow_the_rows_alone(spark):
         assert [r.importance_pct for r in other] == pytest.approx(list(shares.values()))
     constant = difficulty_importances(rows.withColumn("difficulty", F.lit(1.0)), ["a", "b"], trees=2).collect()
     assert [tuple(r) for r in constant] == [("a", 0.0), ("b", 0.0)]
+
+
+def test_imported_files_grow_in_number_not_in_size(spark, sf_dir, monkeypatch):
+    from veriscope.plans import selections
+
+    written, write = [], selections.write_csv
+    monkeypatch.setattr(selections, "write_csv", lambda df, path: (written.append(df.rdd.getNumPartitions()), write(df, path)))
+    few = selections.imported_reviews(spark, sf_dir).orderBy("id").collect()
+    monkeypatch.setattr(selections, "CSV_BYTES", 40_000, raising=False)
+    many = selections.imported_reviews(spark, sf_dir).orderBy("id").collect()
+    assert few == many and written[:2] == [3, 3]
+    assert written[3] > written[2] and written[3] >= 8

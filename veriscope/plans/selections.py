@@ -27,6 +27,9 @@ TEMPLATE = "Decide whether a review is genuine.\nClassification rules:\n- Answer
 # The answers given to texts by id modulo their number.
 ANSWERS = ('{"label":"CG"}', '{"label":"OR"}', '{"label":"XX"}', "not json", '{"other":1}')
 
+# An export's files at least, and the bytes of text that one of them holds: a quoted multi-line CSV is read by one task.
+CSV_FILES, CSV_BYTES = 3, 32 * 1024 * 1024
+
 
 def label_encoding(spark, sf_dir):
     return labels(spark, sf_dir).withColumn("label_encoded", encoded_label(F.col("label")))
@@ -70,9 +73,12 @@ def imported_reviews(spark, sf_dir):
     """All texts written as two CSV folders of different size and column order, imported by name."""
     folder = f"{shared_folder(spark)}/veriscope-csv-{uuid.uuid4().hex}"
     texts = documents(spark, sf_dir).withColumn("label", F.when(F.col("id") % 2 == 0, "OR").otherwise("CG"))
-    few, many = texts.where("id % 5 = 0"), texts.where("id % 5 <> 0")
-    write_csv(few.repartitionByRange(3, "id").sortWithinPartitions("id").select("label", "category", "text_", "rating"), f"{folder}/a")
-    write_csv(many.repartitionByRange(3, "id").sortWithinPartitions("id").select("category", "rating", "label", "text_"), f"{folder}/b")
+    small = F.col("id") % 5 == 0
+    size = F.octet_length("text_").cast("long")
+    sizes = texts.agg(F.sum(F.when(small, size)), F.sum(F.when(~small, size))).first()
+    few, many = (max(CSV_FILES, -(-(n or 0) // CSV_BYTES)) for n in sizes)
+    write_csv(texts.where(small).repartitionByRange(few, "id").sortWithinPartitions("id").select("label", "category", "text_", "rating"), f"{folder}/a")
+    write_csv(texts.where(~small).repartitionByRange(many, "id").sortWithinPartitions("id").select("category", "rating", "label", "text_"), f"{folder}/b")
     numbered = import_reviews(spark, [f"{folder}/a", f"{folder}/b"])
     return numbered.select("id", "category", "rating", "label", F.md5("text_").alias("text_md5"))
 
