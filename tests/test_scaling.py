@@ -54,3 +54,24 @@ def test_imported_files_grow_in_number_not_in_size(spark, sf_dir, monkeypatch):
     many = selections.imported_reviews(spark, sf_dir).orderBy("id").collect()
     assert few == many and written[:2] == [3, 3]
     assert written[3] > written[2] and written[3] >= 8
+
+
+def test_texts_of_one_row_group_are_dealt_out(spark, sf_dir, monkeypatch):
+    from veriscope.plans import tables
+
+    whole = tables.documents(spark, sf_dir)
+    assert tables.dealt(spark, sf_dir).rdd.getNumPartitions() == whole.rdd.getNumPartitions()
+    monkeypatch.setattr(tables, "TASK_BYTES", 60_000)
+    spread = tables.dealt(spark, sf_dir)
+    sizes = [r.n for r in spread.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text_")).alias("n")).collect()]
+    assert len(sizes) >= 5 and max(sizes) < sum(sizes) / 2
+    assert sorted(spread.collect()) == sorted(whole.collect())
+
+
+def test_lexicon_of_whole_words(spark, tmp_path):
+    from veriscope.plans import tables
+
+    texts = ["Ab cd-ef ghijklm\tno pqrstu x, yz\n", "", None, "café AB a bb.", "  tv  "]
+    spark.createDataFrame([(i, t, "s", 3, "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars int, lang string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    assert {r.word for r in tables.lexicon(spark, str(tmp_path)).collect()} == {"ab", "no", "pqrstu", "yz", "tv"}

@@ -17,7 +17,7 @@ from veriscope.operators.terms import cohort_term_difference, tfidf
 from veriscope.plans.ctes import STOP_WORDS as STOP_SQL
 from veriscope.plans.ctes import sql
 from veriscope.plans.tables import (
-    MODELS, NEGATORS, STOP_WORDS, SUPERLATIVES, documents, lexicon, rounded, stored, wide,
+    MODELS, NEGATORS, STOP_WORDS, SUPERLATIVES, dealt, documents, lexicon, rounded, stored, wide,
 )
 from veriscope.shared import broadcast_if_small, settle
 
@@ -35,7 +35,7 @@ VOCABULARY = 500
 def native_features(spark, sf_dir):
     """The features that need no lexicon, stored."""
     return stored(spark, sf_dir, "features", lambda: without_helpers(
-        with_native_features(documents(spark, sf_dir), superlatives=SUPERLATIVES)).drop("text_"), "documents")
+        with_native_features(dealt(spark, sf_dir), superlatives=SUPERLATIVES)).drop("text_"), "documents")
 
 
 def text_features(spark, sf_dir):
@@ -44,7 +44,7 @@ def text_features(spark, sf_dir):
 
 def _profiled(spark, sf_dir):
     return stored(spark, sf_dir, "profile", lambda: text_profile(
-        documents(spark, sf_dir), lexicon(spark, sf_dir), ["category", "rating"], superlatives=SUPERLATIVES, negators=NEGATORS), "documents")
+        dealt(spark, sf_dir), lexicon(spark, sf_dir), ["category", "rating"], superlatives=SUPERLATIVES, negators=NEGATORS), "documents")
 
 
 def text_features_full(spark, sf_dir):

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriscope.functions.text import SPACE_CHARS, words
+from veriscope.functions.text import words
 from veriscope.operators.consolidate import consolidate, long_predictions
 from veriscope.shared import shared_folder
 from veriscope.sources.store import materialize
@@ -28,6 +28,7 @@ BASE = ("category", "rating", "label")
 # A session may name the number of tasks that texts are dealt to as they are read: Spark does not
 # split a row group, so that a file of one is one task.  Tables of many row groups need none.
 SPREAD = "spark.veriscope.spread"
+TASK_BYTES = 8 * 1024 * 1024  # of text, measured by one task
 
 
 def documents(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
@@ -40,6 +41,18 @@ def documents(spark: SparkSession, sf_dir: str, spread: int | None = None) -> Da
     return texts.repartition(spread) if spread else texts
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts in tasks of bounded size, for work that takes long by character.
+
+    Files are read by row groups; if one task would read more than ``TASK_BYTES`` of text, all texts
+    are dealt out by id.  One pass over the texts finds the largest task.
+    """
+    texts = documents(spark, sf_dir)
+    read = texts.select(F.spark_partition_id().alias("task"), F.octet_length("text_").cast("long").alias("n"))
+    largest, total = read.groupBy("task").agg(F.sum("n").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return texts.repartition(-(-total // TASK_BYTES), "id") if (largest or 0) > TASK_BYTES else texts
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], *tables: str) -> DataFrame:
     """What several audits read, built once as long as the given tables stay as they are."""
     return materialize(spark, shared_folder(spark), f"veriscope-{name}", build, {}, [f"{sf_dir}/{t}.parquet" for t in tables])
@@ -66,7 +79,7 @@ def measured(texts: DataFrame) -> DataFrame:
 
 def joined_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled texts by their numbers: measured before the join, so no text is shuffled."""
-    return measured(documents(spark, sf_dir)).join(labels(spark, sf_dir), "id")
+    return measured(dealt(spark, sf_dir)).join(labels(spark, sf_dir), "id")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +111,10 @@ def wide(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word scores for the short plain words of the texts, stored."""
-    found = F.regexp_extract_all(F.lower("text_"), F.lit(rf"(?<![^{SPACE_CHARS}])[a-z]{{2,6}}(?![^{SPACE_CHARS}])"), 0)
-    listed = documents(spark, sf_dir).select(F.explode(F.array_distinct(found)).alias("word")).distinct()
+    found = F.array_distinct(words(F.lower("text_")))
     code, size = F.ascii("word"), F.length("word")
-    return stored(spark, sf_dir, "lexicon", lambda: listed.select(
+    return stored(spark, sf_dir, "lexicon", lambda: dealt(spark, sf_dir).select(
+        F.explode(F.filter(found, lambda w: w.rlike(r"\A[a-z]{2,6}\z"))).alias("word")).distinct().select(
         "word",
         (1 + ((code * 31 + size * 7) % 401) / 100.0).alias("concreteness"),
         (((code * 17 + size * 5) % 201 - 100) / 100.0).alias("polarity"),
