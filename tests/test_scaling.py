@@ -75,3 +75,16 @@ def test_lexicon_of_whole_words(spark, tmp_path):
     spark.createDataFrame([(i, t, "s", 3, "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars int, lang string").write.parquet(
         f"{tmp_path}/documents.parquet")
     assert {r.word for r in tables.lexicon(spark, str(tmp_path)).collect()} == {"ab", "no", "pqrstu", "yz", "tv"}
+
+
+def test_tokens_are_scored_without_interpreted_lambdas(spark):
+    from veriscope.operators.lexicon import text_profile
+
+    words = settle(spark.createDataFrame([("not", 1.0, 0.5, "OTHER"), ("good", 2.0, 0.8, "ADJ"), ("bag", 4.0, 0.0, "NOUN")],
+                                         "word string, concreteness double, polarity double, pos string"))
+    texts = spark.createDataFrame([(1, "Not good bag!"), (2, ""), (3, None), (4, "good not")], "id long, text_ string")
+    found = text_profile(texts, words, negators=("not",))
+    rows = {r.id: (r.concreteness_score, r.polarity, r.adj_ratio) for r in found.collect()}
+    assert rows[1] == (1.5, pytest.approx((0.5 - 0.4 + 0.0) / 3), pytest.approx(1 / 3)) and rows[4] == (1.5, pytest.approx(0.65), 0.5)
+    assert rows[2] == rows[3] == (None, 0.0, 0.0)
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -34,19 +34,17 @@ def join_lexicon(tokens: DataFrame, lexicon: DataFrame, spread_by: str,
     return salted.join(copies, ["word", "_salt"], "left").drop("_salt")
 
 
-def token_items(raw: Column, spoken: Column, negators: Sequence[str] = NEGATORS) -> Column:
-    """Both tokenisations of a text as one array of (word, spoken, negated).
+def token_items(measured: DataFrame, columns: Sequence[str], negators: Sequence[str] = NEGATORS) -> DataFrame:
+    """Both tokenisations of every text as rows (columns…, word, spoken, negated).
 
-    ``raw`` are the whitespace words, ``spoken`` the alphabetic tokens; pass columns,
-    not expressions, since the lambdas read them per element.
+    ``_raw`` are the whitespace words, ``_letters`` the alphabetic tokens.  No lambda: those are
+    interpreted for every element.
     """
-    return F.concat(
-        F.transform(raw, lambda w: F.struct(
-            w.alias("word"), F.lit(False).alias("spoken"), F.lit(False).alias("negated"))),
-        F.transform(spoken, lambda w, i: F.struct(
-            w.alias("word"), F.lit(True).alias("spoken"),
-            F.coalesce(F.get(spoken, i - 1).isin(list(negators)), F.lit(False)).alias("negated"))),
-    )
+    both = measured.select(*columns, "_letters", F.size("_raw").alias("_n"), F.posexplode_outer(F.concat("_raw", "_letters")).alias("_at", "word"))
+    place = F.col("_at") - F.col("_n")
+    spoken = place >= 0
+    before = F.get("_letters", place - 1)
+    return both.select(*columns, "word", spoken.alias("spoken"), F.coalesce(spoken & before.isin(list(negators)), F.lit(False)).alias("negated"))
 
 
 def lexicon_scores() -> list[Column]:
@@ -81,14 +79,13 @@ def text_profile(texts: DataFrame, lexicon: DataFrame, carry: Sequence[str] = ()
         with_native_features(texts, text, superlatives)
         .withColumn("_raw", F.array_remove(F.split(F.lower("_plain"), " "), ""))
     )
-    items = F.inline_outer(token_items(F.col("_raw"), F.col("_letters"), negators))
     if fits_broadcast(lexicon, max_rows):
         # numbers, unlike strings, can be held in a hash aggregate's buffer
         same_text = [F.max(c).alias(c) for c in NATIVE_FEATURES]
-        tokens = measured.select(*base, items).join(F.broadcast(lexicon), "word", "left")
+        tokens = token_items(measured, base, negators).join(F.broadcast(lexicon), "word", "left")
         return tokens.groupBy(key, *carry).agg(*same_text, *lexicon_scores())
     # the tokens are shuffled to the lexicon: they travel without the measurements
-    tokens = join_lexicon(measured.select(key, items), lexicon, key, max_rows)
+    tokens = join_lexicon(token_items(measured, [key], negators), lexicon, key, max_rows)
     return measured.select(*base).join(tokens.groupBy(key).agg(*lexicon_scores()), key)
 
 
