@@ -88,3 +88,19 @@ def test_tokens_are_scored_without_interpreted_lambdas(spark):
     assert rows[1] == (1.5, pytest.approx((0.5 - 0.4 + 0.0) / 3), pytest.approx(1 / 3)) and rows[4] == (1.5, pytest.approx(0.65), 0.5)
     assert rows[2] == rows[3] == (None, 0.0, 0.0)
     assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_vector_is_not_sent_with_every_entry(spark):
+    from veriscope.learning.word_vectors import multiplied
+
+    entries = settle(spark.range(3000).select(
+        F.concat(F.lit("w"), F.col("id") % 30).alias("word"), F.concat(F.lit("o"), F.floor(F.col("id") / 30)).alias("other"), (F.col("id") % 7).cast("double").alias("value")))
+    vectors = settle(spark.range(99).select(F.concat(F.lit("o"), "id").alias("word"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector")))
+    found = multiplied(entries, vectors)
+    want = {}
+    for i in range(99 * 30):  # no vector for the last word
+        x = want.setdefault(f"w{i % 30}", [0.0, 0.0])
+        x[0], x[1] = x[0] + (i % 7) * (i // 30), x[1] + i % 7
+    assert {r.word: list(r.vector) for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert multiplied(entries.limit(0), vectors).count() == multiplied(entries, vectors.limit(0)).count() == 0
