@@ -40,3 +40,17 @@ def test_only_needed_columns_are_read(spark, sf_dir):
     shown = plan(registry.QUERIES["label_encoding"](spark, sf_dir))
     assert "ReadSchema: struct<doc_id:bigint,quality:int>" in shown
     assert "n_chars" not in plan(documents(spark, sf_dir).select("id", "text_"))
+
+
+def test_scores_are_worked_out_alone(spark, sf_dir, monkeypatch):
+    """A query of one lexicon score neither counts patterns for other features nor runs a lambda for every word."""
+    from veriscope.plans import measures, tables
+
+    built = {}
+    for module in (measures, tables):
+        monkeypatch.setattr(module, "stored", lambda s, d, name, build, *of: built.setdefault(name, build()))
+    for query in (measures.cohort_sentiment_by_rating, measures.polarity_by_difficulty, measures.concreteness_by_difficulty):
+        query(spark, sf_dir)
+    assert "scores" in built and not {"profile", "features"} & set(built)
+    plans = {name: df._jdf.queryExecution().optimizedPlan().toString() for name, df in built.items()}
+    assert "regexp_count" not in plans["scores"] and "lambda" not in plans["lexicon"]

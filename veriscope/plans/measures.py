@@ -47,6 +47,13 @@ def _profiled(spark, sf_dir):
         dealt(spark, sf_dir), lexicon(spark, sf_dir), ["category", "rating"], superlatives=SUPERLATIVES, negators=NEGATORS), "documents")
 
 
+def _scored(spark, sf_dir):
+    """The lexicon scores alone, stored: no other feature is worked out or carried along with the tokens."""
+    return stored(spark, sf_dir, "scores", lambda: text_profile(
+        dealt(spark, sf_dir), lexicon(spark, sf_dir), ["category", "rating"], superlatives=SUPERLATIVES,
+        negators=NEGATORS).select("id", *LEXICON_FEATURES), "documents")
+
+
 def text_features_full(spark, sf_dir):
     return rounded(_profiled(spark, sf_dir))
 
@@ -69,6 +76,10 @@ def _judged_full(spark, sf_dir):
     return _judged(spark, sf_dir).join(_profiled(spark, sf_dir).drop("category", "rating"), "id")
 
 
+def _judged_scores(spark, sf_dir):
+    return _judged(spark, sf_dir).join(_scored(spark, sf_dir), "id")
+
+
 def feature_difficulty_corr(spark, sf_dir):
     return rounded(correlations(_judged_native(spark, sf_dir), CORRELATED))
 
@@ -82,11 +93,11 @@ def entity_by_difficulty(spark, sf_dir):
 
 
 def concreteness_by_difficulty(spark, sf_dir):
-    return _described(spark, sf_dir, "concreteness_score", _judged_full)
+    return _described(spark, sf_dir, "concreteness_score", _judged_scores)
 
 
 def polarity_by_difficulty(spark, sf_dir):
-    return _described(spark, sf_dir, "polarity", _judged_full)
+    return _described(spark, sf_dir, "polarity", _judged_scores)
 
 
 def cohorts(spark, sf_dir):
@@ -106,7 +117,7 @@ def cohort_rating_dist(spark, sf_dir):
 
 
 def cohort_sentiment_by_rating(spark, sf_dir):
-    return rounded(mean_by_cohort(_judged_full(spark, sf_dir), "polarity"))
+    return rounded(mean_by_cohort(_judged_scores(spark, sf_dir), "polarity"))
 
 
 def _fakes(spark, sf_dir):

@@ -111,10 +111,10 @@ def wide(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word scores for the short plain words of the texts, stored."""
-    found = F.array_distinct(words(F.lower("text_")))
+    found = F.explode(F.array_distinct(words(F.lower("text_")))).alias("word")  # then chosen: a lambda is interpreted for every word
     code, size = F.ascii("word"), F.length("word")
     return stored(spark, sf_dir, "lexicon", lambda: dealt(spark, sf_dir).select(
-        F.explode(F.filter(found, lambda w: w.rlike(r"\A[a-z]{2,6}\z"))).alias("word")).distinct().select(
+        found).where(F.col("word").rlike(r"\A[a-z]{2,6}\z")).distinct().select(
         "word",
         (1 + ((code * 31 + size * 7) % 401) / 100.0).alias("concreteness"),
         (((code * 17 + size * 5) % 201 - 100) / 100.0).alias("polarity"),
