@@ -26,6 +26,17 @@ def test_large_blocks_are_not_broadcast(spark, monkeypatch):
     assert "broadcast" not in shared.broadcast_if_small(table)._jdf.queryExecution().logical().toString().lower()
 
 
+def test_what_is_too_large_to_broadcast_is_not_sent_where_its_file_looks_small(spark):
+    """A file of equal values is far smaller than what the driver would hold of it."""
+    table = settle(spark.range(200).select("id", F.array_repeat(F.lit(1.5), 1000).alias("cuts")))
+    joined = spark.range(1000).join(shared.broadcast_if_small(table, max_bytes=1_000_000), "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 200
+    small = spark.range(1000).join(shared.broadcast_if_small(table), "id")
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString() and small.count() == 200
+
+
+
 def test_difficulty_importances_follow_the_rows_alone(spark):
     from veriscope.learning.evaluation import difficulty_importances
 
